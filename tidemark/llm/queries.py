@@ -11,9 +11,18 @@ from tidemark.llm.bpe import encode
 from tidemark.llm.common import documents
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.fingerprints import fingerprint_documents
+from tidemark.llm.language import identify_languages
+from tidemark.llm.pii import find_pii
+from tidemark.llm.quality import classify_quality
+from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import assign_shards
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,16 +33,28 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_fingerprints, op8_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_fingerprints, op4_secrets, op7_language, op8_bpe, op9_pii, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
