@@ -12,6 +12,7 @@ from tidemark.llm.common import documents
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.fingerprints import fingerprint_documents
 from tidemark.llm.language import identify_languages
+from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.pii import find_pii
 from tidemark.llm.quality import classify_quality
 from tidemark.llm.secrets import find_secrets
@@ -37,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
@@ -54,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_fingerprints, op4_secrets, op7_language, op8_bpe, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_fingerprints, op4_secrets, op5_ngram_join, op7_language, op8_bpe, op9_pii, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
