@@ -1,4 +1,8 @@
-"""The training-text pipeline: documents in, encoded documents out."""
+"""The training-text pipeline: documents in, token ids out.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the
+columns of ``docs``. Other tables are read from ``sf_dir``.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +11,56 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.bpe import encode
-from tidemark.llm.decontaminate import without_items
+from tidemark.llm import bpe, decontaminate, ngram_join, pii, quality
+from tidemark.llm.common import checkpoint, documents
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects (null and empty texts are scored like others)."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.with_statistics(docs).where(model.score() >= quality.CUT)
+    return scored.select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that contain a benchmark item."""
+    return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
-    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by labels."""
+    return pii.sanitise(docs)
 
 
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
-    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with the digests of ids and decoded text."""
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("decontamination", decontamination), ("encoding", encoding)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good),
+    ("n-gram jaccard join", keep_one_of_each),
+    ("benchmark decontamination", drop_leaks),
+    ("pii", hide_personal_data),
+    ("bpe encoding and decoding", to_tokens),
+]
 
-#: No stage but the first few can be put in SQL; the stages are tested against brute force.
+#: SQL can express neither a fitted classifier nor BPE; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents; what a stage returns is written before the next one reads it several times."""
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpoint(docs)
     return docs

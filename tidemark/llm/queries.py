@@ -12,6 +12,7 @@ from tidemark.llm.common import documents
 from tidemark.llm.decontaminate import contained_items
 from tidemark.llm.fingerprints import fingerprint_documents
 from tidemark.llm.language import identify_languages
+from tidemark.llm.language_model import score_texts
 from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.pii import find_pii
 from tidemark.llm.quality import classify_quality
@@ -42,6 +43,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
@@ -58,8 +63,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+QUERIES = (
+    op1_quality, op2_sharding, op3_fingerprints, op4_secrets, op5_ngram_join,
+    op6_language_model, op7_language, op8_bpe, op9_pii, op10_decontamination,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_fingerprints, op4_secrets, op5_ngram_join, op7_language, op8_bpe, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
