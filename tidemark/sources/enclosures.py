@@ -43,7 +43,7 @@ def audit(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 def texts(stored: DataFrame) -> DataFrame:
     """(id, kind, text): XML and HTML without styles and tags, plain text as it is, nothing for formats that need a converter."""
     kind = content_kind(F.col("content"))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     plain = F.trim(F.regexp_replace(strip_tags(F.regexp_replace(text, r"(?s)<style.*?</style>", " ")), r"\s+", " "))
     return stored.select("id", kind.alias("kind"), F.when(kind == "xml", plain).when(kind == "", F.when(text.contains("<html"), plain).otherwise(text)).otherwise("").alias("text"))
 
