@@ -258,11 +258,12 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
         for batch in batches:
             n = np.asarray(batch.column(1))
             longs = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            many = np.array([len(x) for x in longs], np.int64)
             longs = [x[: max(len(x) - int(t) + 1, 0)] for x, t in zip(longs, _least(n), strict=True)]
             row = np.repeat(np.arange(len(n)), [len(x) for x in longs])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(longs)), batch.column(0).take(pa.array(row)), pa.array(n[row])], names=["shingle", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(longs)), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(many[row])], names=["shingle", "id", "n", "long"])
 
-    posts = alike.select("id", "n", "longs").mapInArrow(first, "shingle long, id long, n long")
+    posts = alike.select("id", "n", "longs").mapInArrow(first, "shingle long, id long, n long, long long")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +294,7 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
         else:
             lists = posts.withColumn("component", F.col("id"))
         if turn < HUBS:
-            rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id", "n", "component")
+            rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)).alias("rank"), "id", "n", "component")
             hubs = lists.groupBy("shingle").agg(F.min(rank).alias("h")).select("shingle", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.component").alias("ca"))
             pairs = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).join(hubs, "shingle")
             pairs = pairs.where("ca <> cb").where(close).select("a", "b").distinct()
@@ -304,7 +305,7 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
         if turn and lists.isEmpty():
             break
         new = linked(pairs)
-        edges = new if edges is None else checkpoint(edges.unionByName(new))
+        edges = new if edges is None else edges.unionByName(new)
     # Sets that are alike link among themselves if their long shingles suffice, or if they link to another kind, which all of them do.
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("linked", F.lit(True))
     bound = alike.select("signature", "n", "id", size.alias("size")).join(ends, "id", "left").where((F.col("size") * 7 >= F.col("n") * 6) | F.col("linked"))
@@ -332,9 +333,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if len(sent.value):
         long = long_links(known, text_col, blocks, sent)
         edges = edges if long is None else edges.unionByName(long)
-    named = edges.join(classes.select(F.col("class_id").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("rep").alias("rb")), "b")
-    comp = components(named, "ra", "rb")
-    found = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("class_id", F.coalesce("component", "rep").alias("component_id"))
+    comp = components(edges).withColumnRenamed("id", "class_id")
+    placed = classes.join(comp, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = placed.join(least, "component").select("class_id", "component_id")
     out = rows.join(found, "class_id", "left")
     own = F.when(F.col(id_col).isNull(), F.lit(None)).otherwise(F.coalesce("component_id", id_col))
     return out.select(id_col, "n_shingles", own.alias("component_id"))
