@@ -14,6 +14,7 @@ from tidemark.llm.fingerprints import fingerprint_documents
 from tidemark.llm.language import identify_languages
 from tidemark.llm.language_model import score_texts
 from tidemark.llm.ngram_join import near_duplicates
+from tidemark.llm.oracles import ORACLES
 from tidemark.llm.pii import find_pii
 from tidemark.llm.quality import classify_quality
 from tidemark.llm.secrets import find_secrets
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
