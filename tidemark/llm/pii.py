@@ -28,7 +28,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Texts without this hold none of them.
 HINT = r"@|[0-9]"
 
-DISCLOSURE = 0.8
+DISCLOSURE = 0.97
 CONTEXTS = 3
 REACH = 80
 TERM = r"[^\p{L}]+"
