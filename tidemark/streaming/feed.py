@@ -21,9 +21,12 @@ def scratch(spark: SparkSession) -> str:
 
 def read_feed(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """The files of a table as a stream, some at a time; where it left off is kept with the query's checkpoint."""
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name if name.endswith(".parquet") else "*").parquet(folder if name.endswith(".parquet") else path)
+    if any(f.endswith(f"/{name}") for f in table.inputFiles()):  # a table of one file
+        return stream.option("pathGlobFilter", name).parquet(folder)
+    return stream.parquet(path)
 
 
 def daily_counts(stream: DataFrame, lateness: str = "0 seconds") -> DataFrame:
