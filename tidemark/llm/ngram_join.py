@@ -283,7 +283,8 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "la", "nb", "lb")
         return checkpoint(joined.mapInArrow(probe, "a long, b long"))
 
-    close = F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
+    # The long shingles of the set with fewer of them must be able to reach the overlap that both need.
+    able = F.least("la", "lb") * 7 >= (F.col("na") + F.col("nb")) * 3
     edges = None
     for turn in range(HUBS + 1):
         if turn:
@@ -294,14 +295,15 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
         else:
             lists = posts.withColumn("component", F.col("id"))
         if turn < HUBS:
-            rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)).alias("rank"), "id", "n", "component")
-            hubs = lists.groupBy("shingle").agg(F.min(rank).alias("h")).select("shingle", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.component").alias("ca"))
-            pairs = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).join(hubs, "shingle")
-            pairs = pairs.where("ca <> cb").where(close).select("a", "b").distinct()
+            # The first hub is the set with fewest short shingles: what others were made from, if it is there.
+            rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("n") - F.col("long")).alias("rank"), "id", "n", "long", "component")
+            hubs = lists.groupBy("shingle").agg(F.min(rank).alias("h"))
+            left = hubs.select("shingle", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.long").alias("la"), F.col("h.component").alias("ca"))
         else:
-            left = lists.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            right = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = left.join(right, "shingle").where("ca <> cb AND a < b").where(close).select("a", "b").distinct()
+            left = lists.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"), F.col("component").alias("ca"))
+        right = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"), F.col("component").alias("cb"))
+        pairs = left.join(right, "shingle").where("ca <> cb").where(able)
+        pairs = (pairs if turn < HUBS else pairs.where("a < b")).select("a", "b").distinct()
         if turn and lists.isEmpty():
             break
         new = linked(pairs)
