@@ -9,8 +9,9 @@ is deleted from the counts before it is predicted.
 Counts are exchanged in packed form. Texts are dealt into blocks of a few MB. A block asks for each of its
 distinct n-grams once, with the number of times its training texts hold it; requests are dealt by hash into
 buckets, where the counts of an n-gram meet, and the totals go back to the blocks in the order of the
-requests. A frequent n-gram therefore costs one entry a block. N-grams are known by hashes of 64 bits (48 and
-those that choose the bucket for pairs), words of one text never share them in practice.
+requests. A frequent n-gram therefore costs one entry a block. N-grams are known by hashes: the bucket and 48
+further bits for tokens, 40 for pairs, so that two different ones of a bucket of a million share them with a
+chance of about 1e-8 and 1e-6. Keys travel sorted, as differences.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ from tidemark.llm.shingles import mix, words
 
 END, BEGIN = np.uint64(0x51ED270B9F3A6C17), np.uint64(0xA24BAED4963EE407)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+#: Bytes of a key within its bucket, for tokens and pairs.
+WIDTHS = (6, 5)
 #: Steps of the grid on which the statistics for the weights are kept, a power of two.
 STEP = 4
 ROUNDS = 60
 
 
 def _count(total: int, small: int, large: int) -> int:
-    """Parts of about ``small`` each, more where that makes over 4096 parts, up to ``large``."""
-    return max(256, min(total // small, 4096), total // large)
+    """Parts of about ``small`` each, larger where that makes over 4096 parts, up to ``large``; 96 at least."""
+    return max(96, min(total // small, 4096), total // large)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,14 +54,15 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return token, before, start
 
 
-def _distinct(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ordered by bucket and key, their buckets, and the place of each key among them."""
+def _distinct(key: np.ndarray, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (the low ``width`` bytes) ordered by bucket and key, their buckets, and the place of each key among them."""
     own, back = np.unique(key, return_inverse=True)
-    bucket = ((own >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    bucket = ((own >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+    low = own & np.uint64((1 << 8 * width) - 1)
+    order = np.lexsort((low, bucket))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return own[order], bucket[order], place[back.ravel()]
+    return low[order], bucket[order], place[back.ravel()]
 
 
 def _ngrams(token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +74,19 @@ def _zip(x: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
+def _zip_keys(key: np.ndarray, width: int) -> bytes:
+    """Sorted keys as differences, byte by byte, so that the high bytes compress away."""
+    steps = np.diff(key, prepend=np.uint64(0)).astype("<u8")
+    return _zip(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T))
+
+
+def _unzip_keys(x: bytes, width: int) -> np.ndarray:
+    planes = _unzip(x, "u1").reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _unzip(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), kind)
 
@@ -80,8 +97,8 @@ def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     share in the size of the vocabulary."""
     kind = docs.schema[id_col].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    blocks = _count(size["n"] + size["rows"], 1 << 21, 1 << 24)
-    buckets = _count((size["n"] + size["rows"]) // 6, 400_000, 4_000_000)
+    blocks = _count(size["n"] + size["rows"], 1 << 23, 1 << 24)
+    buckets = _count((size["n"] + size["rows"]) // 6, 1_000_000, 4_000_000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     dealt = docs.select(
         F.pmod(F.xxhash64(id_col, F.crc32(F.encode(text, "UTF-8"))), F.lit(blocks)).cast("int").alias("block"),
@@ -93,38 +110,33 @@ def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         token, before, start = _tokens(*utf8(table.column("text").chunk(0)))
         learned = np.repeat(~np.asarray(table.column("held_out")), np.diff(start))
         columns, there = [], None
-        for key in _ngrams(token, before):
-            own, bucket, place = _distinct(key, buckets)
+        for key, width in zip(_ngrams(token, before), WIDTHS, strict=True):
+            own, bucket, place = _distinct(key, buckets, width)
             times = np.bincount(place[learned], minlength=len(own)).astype(np.uint32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cut))
             there = used if there is None else np.union1d(there, used)
             columns.append((own, times, cut))
-        (one, n1, c1), (two, n2, c2) = columns
-        low, high = (two & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((two >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
-        parts = [(one, c1), (n1, c1), (low, c2), (high, c2), (n2, c2)]
         block = table.column("block")[0].as_py()
-        return pa.table(
-            {"bucket": pa.array(there.astype(np.int32)), "block": pa.array(np.full(len(there), block, np.int32))}
-            | {f"c{k}": pa.array([x[c[b] : c[b + 1]].tobytes() for b in there], pa.binary()) for k, (x, c) in enumerate(parts)}
-        )
+        out = {"bucket": pa.array(there.astype(np.int32)), "block": pa.array(np.full(len(there), block, np.int32))}
+        for name, width, (own, times, cut) in zip(("one", "two"), WIDTHS, columns, strict=True):
+            ends = [(cut[b], cut[b + 1]) for b in there]
+            out[f"{name}_keys"] = pa.array([_zip_keys(own[x:y], width) for x, y in ends], pa.binary())
+            out[f"{name}_times"] = pa.array([_zip(times[x:y]) for x, y in ends], pa.binary())
+        return pa.table(out)
 
     def answer(table: pa.Table) -> pa.Table:
-        def column(k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-            parts = [np.frombuffer(x, kind) for x in table.column(f"c{k}").to_pylist()]
-            return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
-
-        one, cut1 = column(0, "u8")
-        low, cut2 = column(2, "u4")
-        two = (column(3, "u2")[0].astype(np.uint64) << np.uint64(32)) | low
-        totals = []
-        for key, times in ((one, column(1, "u4")[0]), (two, column(4, "u4")[0])):
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
-            total = np.bincount(back.ravel(), weights=times).astype(np.uint32) if len(key) else np.zeros(0, np.uint32)
-            totals.append((first, total, total[back.ravel()] if len(key) else total))
-        first, total, _ = totals[0]
-        fresh = np.bincount(np.searchsorted(cut1, first[total > 0], side="right") - 1, minlength=len(cut1) - 1)
-        packed = [[_zip(t[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)] for (_, _, t), cut in zip(totals, (cut1, cut2), strict=True)]
+        packed, fresh = [], None
+        for name, width in zip(("one", "two"), WIDTHS, strict=True):
+            parts = [_unzip_keys(x, width) for x in table.column(f"{name}_keys").to_pylist()]
+            cut = np.append(0, np.cumsum([len(p) for p in parts]))
+            times = np.concatenate([_unzip(x, "u4") for x in table.column(f"{name}_times").to_pylist()])
+            _, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+            total = np.bincount(back.ravel(), weights=times).astype(np.uint32)
+            if fresh is None:
+                fresh = np.bincount(np.searchsorted(cut, first[total > 0], side="right") - 1, minlength=len(cut) - 1)
+            each = total[back.ravel()]
+            packed.append([_zip(each[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)])
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ones": pa.array(packed[0], pa.binary()), "twos": pa.array(packed[1], pa.binary()), "fresh": pa.array(fresh)})
 
     def take(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -132,10 +144,11 @@ def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         token, before, start = _tokens(*utf8(left.column("text").chunk(0)))
         right = right.sort_by("bucket")
         packed = []
-        for name, key in zip(("ones", "twos"), _ngrams(token, before), strict=True):
-            _, _, place = _distinct(key, buckets)
+        for name, key, width in zip(("ones", "twos"), _ngrams(token, before), WIDTHS, strict=True):
+            _, _, place = _distinct(key, buckets, width)
             totals = np.concatenate([_unzip(x, "u4") for x in right.column(name).to_pylist()])
             packed.append(_zip(totals[place]))
+
         def whole(column: pa.ChunkedArray) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.combine_chunks())
 
@@ -147,7 +160,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             }
         )
 
-    asked = dealt.groupBy("block").applyInArrow(request, "bucket int, block int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
+    asked = dealt.groupBy("block").applyInArrow(request, "bucket int, block int, one_keys binary, one_times binary, two_keys binary, two_times binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, ones binary, twos binary, fresh long")
     schema = f"ids array<{kind}>, held_out array<boolean>, deleted array<boolean>, tokens array<long>, ones binary, twos binary, fresh long"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(take, schema)

@@ -260,10 +260,12 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
             longs = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
             many = np.array([len(x) for x in longs], np.int64)
             longs = [x[: max(len(x) - int(t) + 1, 0)] for x, t in zip(longs, _least(n), strict=True)]
-            row = np.repeat(np.arange(len(n)), [len(x) for x in longs])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(longs)), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(many[row])], names=["shingle", "id", "n", "long"])
+            size = np.array([len(x) for x in longs], np.int64)
+            row = np.repeat(np.arange(len(n)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(longs)), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(many[row] - place)], names=["shingle", "id", "n", "left"])
 
-    posts = alike.select("id", "n", "longs").mapInArrow(first, "shingle long, id long, n long, long long")
+    posts = alike.select("id", "n", "longs").mapInArrow(first, "shingle long, id long, n long, left long")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +285,7 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "la", "nb", "lb")
         return checkpoint(joined.mapInArrow(probe, "a long, b long"))
 
-    # The long shingles of the set with fewer of them must be able to reach the overlap that both need.
+    # From the first shingle that two sets share on, both must have enough left to reach the overlap that both need.
     able = F.least("la", "lb") * 7 >= (F.col("na") + F.col("nb")) * 3
     edges = None
     for turn in range(HUBS + 1):
@@ -296,12 +298,12 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
             lists = posts.withColumn("component", F.col("id"))
         if turn < HUBS:
             # The first hub is the set with fewest short shingles: what others were made from, if it is there.
-            rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("n") - F.col("long")).alias("rank"), "id", "n", "long", "component")
+            rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("n") - F.col("left")).alias("rank"), "id", "n", "left", "component")
             hubs = lists.groupBy("shingle").agg(F.min(rank).alias("h"))
-            left = hubs.select("shingle", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.long").alias("la"), F.col("h.component").alias("ca"))
+            left = hubs.select("shingle", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.left").alias("la"), F.col("h.component").alias("ca"))
         else:
-            left = lists.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"), F.col("component").alias("ca"))
-        right = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"), F.col("component").alias("cb"))
+            left = lists.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("component").alias("ca"))
+        right = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("component").alias("cb"))
         pairs = left.join(right, "shingle").where("ca <> cb").where(able)
         pairs = (pairs if turn < HUBS else pairs.where("a < b")).select("a", "b").distinct()
         if turn and lists.isEmpty():

@@ -87,7 +87,8 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = docs.select(F.explode(_words(F.col(text_col))).alias("term"))
     if pairs.isEmpty():
         return wanted
-    counts = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Counted on the map side before the join, so that a frequent word is one row of each task.
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term", "left_semi")
     total = docs.agg(F.coalesce(F.sum(F.size(F.split(text_col, TERM)).cast("long")), F.lit(0)).alias("n")).first()["n"]
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
