@@ -20,8 +20,7 @@ TOKENIZER = "word_bpe_49k.json"
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects (null and empty texts are scored like others)."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_statistics(docs).where(model.score() >= quality.CUT)
-    return scored.select(*docs.columns)
+    return quality.only_good(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,6 +199,18 @@ def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop(*[f"__{k}" for k in STATISTICS])
 
 
+def only_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that the model does not reject (scores of at least ``CUT``).
+
+    The score passes through a generator, which keeps the condition above it: pushed down to the scan, it
+    would work out the statistics anew for each rule that uses them.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    scored = with_statistics(whole).select("row", model.score().alias("score"))
+    kept = scored.select("row", F.explode(F.array("score")).alias("score")).where(F.col("score") >= CUT)
+    return kept.select("row.*")
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted. Empty tables give an empty result."""
     model = train(docs, labels, id_col, text_col)
