@@ -34,7 +34,7 @@ SPACES = regex.compile(f"[{_SPACE}]+")
 #: Separators of str.split that the split pattern does not take as white space.
 ODD = regex.compile("[\\x1c-\\x1f]")
 #: Runs without white space up to this length, and this many of them, are remembered by a worker; likewise arcs.
-MEMO_CHARS, MEMO_WORDS, MEMO_ARCS = 40, 500_000, 2_000_000
+MEMO_CHARS, MEMO_WORDS, MEMO_ARCS = 40, 1 << 15, 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
