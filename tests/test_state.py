@@ -178,3 +178,14 @@ def test_late_events_are_dropped_and_repeats_count_once(spark, tmp_path):
         plan = daily_counts(read_feed(spark, source)).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
         plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.read.parquet(out), "day", "n") == [("2024-01-01", 1), ("2024-01-05", 1), ("2024-01-09", 1)]
+
+
+def test_feed_stream_counts_every_entry_of_files_in_any_order(spark, tmp_path):
+    from tidemark.plans import QUERIES
+
+    parts = [[(4, "2024-01-09 10:00:00", "a", 1.0), (5, "2024-01-09 11:00:00", "a", 2.0)], [(1, "2024-01-01 10:00:00", "a", 1.0), (4, "2024-01-09 10:00:00", "a", 1.0)], [(2, "2024-01-05 10:00:00", "b", 4.0), (3, "2024-01-01 09:00:00", "a", 8.0)]]
+    for part in parts:
+        df = spark.createDataFrame(part, "event_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES["feed_stream"](spark, str(tmp_path))
+    assert rows(out, "day", "event_type", "n", "total") == [("2024-01-01", "a", 2, 9.0), ("2024-01-05", "b", 1, 4.0), ("2024-01-09", "a", 2, 3.0)]
