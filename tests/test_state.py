@@ -1,6 +1,7 @@
 """State tables, monitors, sources and streams on small fixtures."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -189,3 +190,24 @@ def test_feed_stream_counts_every_entry_of_files_in_any_order(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     out = QUERIES["feed_stream"](spark, str(tmp_path))
     assert rows(out, "day", "event_type", "n", "total") == [("2024-01-01", "a", 2, 9.0), ("2024-01-05", "b", 1, 4.0), ("2024-01-09", "a", 2, 3.0)]
+
+
+def test_link_dossiers_looks_up_references_in_the_whole_text(spark, tmp_path):
+    from tidemark.plans import QUERIES
+
+    tail = "woord " * 60 + "zie 36 105, nr. 3 en 36105-3, niet 36999 3, kst-36105-3 of 36105-VI-3; 7 (36100-VI) en 8 (36100-VI) "
+    texts = [(1, tail * 3), (3, "36103-3 " * 40 + tail), (10, "36 110 3"), (11, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k,) for k in range(100, 120)] + [(1105,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+
+    def brute(k, t):
+        def dossier(m):
+            nummer = int(m[1].replace(" ", ""))
+            return f'<a href="document.html?nummer={nummer - 36000}">{m[0]}</a>' if m[2] == "" and m[4] == "3" and 36100 <= nummer < 36120 else m[0]
+
+        t = re.sub(r"(?<!kst-)\b(\d{2} ?\d{3})((?:-[A-Z0-9]+)?)(,? nr\. |[ -])(\d{1,3})\b", dossier, f"zie 36 {k % 900 + 100}, nr. {k % 7} " + t)
+        n = iter(range(1, 100))
+        return re.sub(r"\b(\d{1,3}) \((\d{5})-([A-Z0-9]+)\)", lambda m: f"{m[0]} #{next(n)}", t)
+
+    want = [(k, brute(k, t)) for k, t in texts]
+    assert want[0][1].count("<a ") == 6 and rows(QUERIES["link_dossiers"](spark, str(tmp_path)), "doc_id", "linked") == want

@@ -126,9 +126,11 @@ def link_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in which references to dossier parts become links where the part exists, and motions get running numbers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("zie 36 "), F.lpad((F.col("doc_id") % 900 + 100).cast("string"), 3, "0"), F.lit(", nr. "), (F.col("doc_id") % 7).cast("string"), F.lit(" "), F.substring("text", 1, 200)).alias("text"))
-    known = table(spark, sf_dir, "part").select((F.lit(36000) + F.col("p_partkey") % 1000).alias("nummer"), F.lit("").alias("toevoeging"), F.lit(3).alias("volgnummer"), F.col("p_partkey").alias("document")).dropDuplicates(["nummer", "volgnummer"])
+    """Whole texts, behind a made-up mention, in which references to dossier parts become links where the part exists, and motions get running numbers."""
+    mention = F.concat(F.lit("zie 36 "), F.lpad((F.col("doc_id") % 900 + 100).cast("string"), 3, "0"), F.lit(", nr. "), (F.col("doc_id") % 7).cast("string"), F.lit(" "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(mention, "text").alias("text"))
+    known = table(spark, sf_dir, "part").groupBy((F.lit(36000) + F.col("p_partkey") % 1000).alias("nummer")).agg(F.min("p_partkey").alias("document"))
+    known = known.select("nummer", F.lit("").alias("toevoeging"), F.lit(3).alias("volgnummer"), "document")
     return linking.link_dossiers(docs, known, "doc_id", "text")
 
 
