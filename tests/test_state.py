@@ -211,3 +211,19 @@ def test_link_dossiers_looks_up_references_in_the_whole_text(spark, tmp_path):
 
     want = [(k, brute(k, t)) for k, t in texts]
     assert want[0][1].count("<a ") == 6 and rows(QUERIES["link_dossiers"](spark, str(tmp_path)), "doc_id", "linked") == want
+
+
+def test_zoek_monitors_search_as_the_search_does(spark):
+    from test_search import QUERIES, TEXTS
+
+    from tidemark.search import engine as S
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc long, tekst string")
+    index = S.build_index(docs, "doc", ["tekst"]).cache()
+    document = docs.select(F.col("doc").cast("string").alias("doc"), F.lit("").alias("datum"), F.lit("").alias("dossier"), F.lit("").alias("suffix"), F.lit(None).cast("string").alias("publisher"))
+    tables = data(spark) | {"document": document, "posting": index.withColumnRenamed("doc", "at_doc").withColumn("at_doc", F.col("at_doc").cast("string"))}
+    typed = [*QUERIES, "Café, zaken", "AND"]
+    given = monitor(spark, soort="zoek").drop("id", "query").crossJoin(spark.createDataFrame(list(enumerate(typed)), "id long, query string"))
+    got = rows(M.evaluate(given, tables), "monitor", "identifier")
+    want = [(k, str(r["doc"])) for k, q in enumerate(typed) if q != "AND" for r in S.match(index, q, raw=q in QUERIES).collect()]
+    assert got == sorted(want) and len(want) > 60
