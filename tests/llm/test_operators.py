@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -171,15 +172,40 @@ def test_secrets_of_known_forms(spark):
         assert [out[i]["n_assign"], out[i]["n_access"], out[i]["n_hex"]] == [sum(k == j for _, k, _ in secret_spans(t or "")) for j in range(3)]
 
 
+def hot_windows(s):
+    def high(w):
+        limit = next((b for chars, b in secrets.CLASSES if set(w) <= set(chars)), secrets.MIXED)
+        return re.search("[0-9]", w) and re.search("[A-Za-z]", w) and -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values()) >= limit - 1e-9
+
+    hot = [k for k in range(len(s) - 19) if high(s[k : k + 20])]
+    return (hot[0], hot[-1] + 20) if hot else (-1, -1)
+
+
 def test_entropy_by_hand(spark):
-    limits = [(re.compile(p), b) for p, b in secrets.CLASSES]
     rng = np.random.default_rng(2)
-    strings = ["aZ3kLm9QpX7rTv2WnB8y", "a1" * 20, "deadbeef" * 4, "Qw7" + "a" * 30 + "aZ3kLm9QpX7rTv2WnB8yU5"] + ["".join(rng.choice(list("abcdefgh0123456789XYZ"), 40)) for _ in range(20)]
+    strings = ["aZ3kLm9QpX7rTv2WnB8y", "a1" * 20, "deadbeef" * 4, "Qw7" + "a" * 30 + "aZ3kLm9QpX7rTv2WnB8yU5", "Key_" + "0123456789ABCDEF" * 2, "Key_8F3A0C7D19E5B2648D0FA37C5E91B264"]
+    for letters in ("abcdefgh0123456789XYZ", "0123456789ABCDEF_", "abcdefghijklmnopqrstuvwxyz0123456789=", "AB+/19_-="):
+        strings += ["".join(rng.choice(list(letters), 60)) for _ in range(12)]
     got = [tuple(r["h"]) for r in spark.createDataFrame([(s,) for s in strings], "s string").coalesce(1).select(secrets.hot_part(F.col("s")).alias("h")).collect()]
-    for s, (first, last) in zip(strings, got, strict=True):
-        limit = next(b for p, b in limits if p.search(s))
-        hot = [k for k in range(len(s) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(s[k : k + 20]).values()) >= limit - 1e-9]
-        assert (first, last) == ((hot[0], hot[-1] + 20) if hot else (-1, -1))
+    assert got == [hot_windows(s) for s in strings]
+    assert got[4][0] >= 0 and got[5] != (-1, -1)  # a key joined to a label is judged by its own class
+
+
+@pytest.mark.parametrize("name", ["secrets", "pii"])
+def test_very_long_texts_in_seconds(spark, name):
+    rng = np.random.default_rng(8)
+    run = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 300_000))
+    texts = [(1, run), (2, "ab-12-" * 200_000), (3, "a.b@c.de 10.1.2.3, token=abcdefghijkl0 " * 30_000), (4, "0123456789abcdef " * 50_000), (5, "1" * 300_000), (6, "a1-" * 100_000), (7, "+1(" * 100_000)]
+    began = time.time()
+    out = {r["doc_id"]: r["spans"].split(",") for r in RUNS[name](frame(spark, texts, 7), None).collect()}
+    assert time.time() - began < 120
+    if name == "secrets":
+        assert [s for s in out[1] if s.startswith("entropy")] == [f"entropy:{hot_windows(run)[0]}:{hot_windows(run)[1]}"] and out[2] == [""]
+        assert len(out[3]) == 30_000 and len(out[4]) == 50_000 and out[3][-1] == f"assign:{len(texts[2][1]) - 20}:{len(texts[2][1]) - 1}"
+    else:
+        assert len(out[3]) == 60_000 and out[3][0] == "email:0:8"
+        clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, texts, 7)).collect()}
+        assert clean[3] == "[EMAIL] [IP], token=abcdefghijkl0 " * 30_000 and clean[2] == texts[1][1]
 
 
 @pytest.mark.parametrize(("text", "found"), [
