@@ -2,20 +2,24 @@
 
 Everything is a column expression or a DataFrame operation. Known forms (mail and network addresses, card
 and telephone numbers) are the protected entities. A term reveals an entity as far as knowing the term
-tells the entity: the pointwise mutual information of both, from co-occurrence in the corpus, against the
-information content of the entity itself. A term whose share reaches ``DISCLOSURE`` is marked as a span of
-kind ``term`` wherever it stands. Co-occurrence counts stretches of ``REACH`` characters on both sides of
-an entity within its line, and a pair needs ``CONTEXTS`` different stretches, so that copies of one text
-don't make its words revealing. Frequencies of terms are counted over the words of all texts.
+tells the entity: the information content of the entity less the pointwise mutual information of both is
+what remains unknown, -log2 P(entity | term) bits. P is estimated from co-occurrence in the corpus, as the
+share of the term's uses that stand within ``REACH`` characters of the entity in its line, and takes the
+lower bound of its confidence interval, so that what was seen once or twice by chance doesn't count. A term
+that leaves at most ``REMAINING`` bits is marked as a span of kind ``term`` wherever it stands. Different
+stretches of text are the observations: copies of one text are one, and there are no more of them than uses. Uses of terms are counted over the
+words of all texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint
-from tidemark.llm.spans import count_kind, listed, located
+from tidemark.llm.spans import SPAN, bound, count_kind, in_blocks, listed, located, part, running
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Written so that a match can only begin where the leftmost one does (at a run's start, or after a match), which keeps long runs linear.
@@ -28,8 +32,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Texts without this hold none of them.
 HINT = r"@|[0-9]"
 
-DISCLOSURE = 0.97
-CONTEXTS = 3
+#: Bits that a revealing term leaves unknown at most, and the width of the confidence interval in standard errors (80 %).
+REMAINING, ERRORS = 1.0, 1.28
 REACH = 80
 TERM = r"[^\p{L}]+"
 TERM_CHARS = 4
@@ -68,51 +72,72 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TERM), lambda w: F.length(w) >= TERM_CHARS)
 
 
+def least_contexts() -> int:
+    """Different stretches that a term needs with an entity before it can reveal it, however exclusive it is."""
+    z2, p = ERRORS**2, 2.0**-REMAINING
+    return math.ceil(p * z2 / (1 - p) - 1e-9)
+
+
+def remaining_bits(seen: Column, others: Column) -> Column:
+    """-log2 of the lower (Wilson) bound of a share: ``seen`` observations for it, ``others`` against it."""
+    n, z2 = seen + others, ERRORS**2
+    p = seen / n
+    return -F.log2((p + z2 / 2 / n - ERRORS * F.sqrt(p * (1 - p) / n + z2 / 4 / n / n)) / (1 + z2 / n))
+
+
 def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term) of the terms whose disclosure of some entity reaches the threshold."""
-    lines = docs.select(text_col).where(F.col(text_col).rlike(HINT)).select(F.explode(F.split(text_col, "\n")).alias("line")).where(F.col("line").rlike(HINT))
-    spans = lines.select("line", F.explode(base_spans(F.col("line"))).alias("s"))
-    around = F.concat_ws(
-        " ",
-        F.expr(f"substring(line, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH}))"),
-        F.expr(f"substring(line, s.end + 1, {REACH})"),
-    )
-    places = spans.select(F.lower("s.match").alias("entity"), around.alias("around"))
-    places = checkpoint(places.groupBy("entity", "around").agg(F.count(F.lit(1)).alias("times")))
-    of_entity = places.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") >= CONTEXTS)
-    pairs = places.select("entity", "times", F.explode(F.array_distinct(_words(F.col("around")))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("times").alias("n_both"), F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") >= CONTEXTS)
-    pairs = checkpoint(pairs.join(of_entity.select("entity", "n_entity"), "entity"))
+    """(term, n_term, n_with, stretches, bits) of the terms that reveal some entity; the one with fewest bits left counts."""
+    lines = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(HINT)).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(HINT))
+
+    def places(blocks: Column, size: Column) -> Column:
+        def place(s: Column) -> Column:
+            before, after = part(blocks, F.greatest(s["start"] - REACH, F.lit(0)), s["start"]), part(blocks, s["end"], F.least(s["end"] + REACH, size))
+            return F.struct(F.lower(s["match"]).alias("entity"), F.concat_ws(" ", before, after).alias("around"))
+
+        return F.transform(base_spans(F.col("line")), place)
+
+    found = bound(in_blocks(F.col("line")), lambda blocks: bound(F.length("line"), lambda size: places(blocks, size)))
+    found = lines.select(F.explode(found).alias("p")).select("p.entity", "p.around")
+    found = checkpoint(found.groupBy("entity", "around").agg(F.count(F.lit(1)).alias("times")))
+    least = least_contexts()
+    often = found.groupBy("entity").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") >= least).select("entity")
+    uses = found.join(often, "entity", "left_semi").select("entity", "times", F.explode(_words(F.col("around"))).alias("term"), "around")
+    uses = uses.groupBy("entity", "term", "around").agg(F.sum("times").alias("times"))
+    pairs = uses.groupBy("entity", "term").agg(F.sum("times").alias("n_with"), F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") >= least)
+    pairs = checkpoint(pairs)
     wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("term"))
+    schema = "term string, n_term long, n_with long, stretches long, bits double"
     if pairs.isEmpty():
-        return wanted
+        return docs.sparkSession.createDataFrame([], schema)
     # Counted on the map side before the join, so that a frequent word is one row of each task.
+    words = docs.select(F.explode(_words(F.col(text_col))).alias("term"))
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term", "left_semi")
-    total = docs.agg(F.coalesce(F.sum(F.size(F.split(text_col, TERM)).cast("long")), F.lit(0)).alias("n")).first()["n"]
-    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    return pairs.join(counts, "term").where(mutual >= DISCLOSURE * information).select("term").distinct()
+    judged = pairs.join(counts, "term").withColumn("bits", remaining_bits(F.least("stretches", "n_term"), F.greatest(F.col("n_term") - F.col("n_with"), F.lit(0)))).where(F.col("bits") <= REMAINING)
+    best = F.min_by(F.struct("n_term", "n_with", "stretches", "bits"), F.struct("bits", "entity")).alias("best")
+    return judged.groupBy("term").agg(best).select("term", "best.*")
+
 
+def with_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` (with columns id and text) with ``spans``: all spans, by kind and then start. Null texts have none.
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__spans``: all spans, by kind and then start. Null texts have none."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    Other columns may have any name but ``terms``, ``spans`` and ``same_id``.
+    """
+    text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<string>")
-    terms = checkpoint(revealing_terms(docs, text_col))
+    terms = checkpoint(revealing_terms(rows).select("term"))
     few = [r["term"] for r in terms.limit(LITERAL_TERMS + 1).collect()]
     if not few:
-        docs = docs.withColumn("__terms", none)
+        rows = rows.withColumn("terms", none)
     elif len(few) <= LITERAL_TERMS:
-        docs = docs.withColumn("__terms", F.array_intersect(_words(text), F.array(*[F.lit(t) for t in few])))
+        rows = rows.withColumn("terms", F.array_intersect(_words(text), F.array(*[F.lit(t) for t in few])))
     else:
-        held = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(_words(text))).alias("term")).join(terms, "term")
-        held = held.groupBy("__id").agg(F.collect_set("term").alias("__terms"))
-        docs = docs.join(held, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id").withColumn("__terms", F.coalesce("__terms", none))
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})"))
-    by_term = F.when(F.size("__terms") > 0, located(text, pattern, 4)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>"))
-    base = F.when(text.rlike(HINT), base_spans(text)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>"))
-    return docs.withColumn("__spans", F.concat(base, by_term) if few else base).drop("__terms")
+        held = rows.select(F.col("id").alias("same_id"), F.explode(F.array_distinct(_words(text))).alias("term")).join(terms, "term")
+        held = held.groupBy("same_id").agg(F.collect_set("term").alias("terms"))
+        rows = rows.join(held, F.col("id").eqNullSafe(F.col("same_id")), "left").drop("same_id").withColumn("terms", F.coalesce("terms", none))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    by_term = F.when(F.size("terms") > 0, located(text, pattern, 4)).otherwise(F.array().cast(SPAN))
+    base = F.when(text.rlike(HINT), base_spans(text)).otherwise(F.array().cast(SPAN))
+    return rows.withColumn("spans", F.concat(base, by_term) if few else base).drop("terms")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,11 +146,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A null text counts as empty and has no spans. Repeated rows give repeated results; other columns are
     not returned; an empty table gives an empty result.
     """
-    found = with_spans(docs.select(id_col, text_col), id_col, text_col)
-    spans = F.col("__spans")
+    found = with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < 4)
     return found.select(
-        id_col,
+        F.col("id").alias(id_col),
         *[count_kind(spans, k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])],
         F.sha2(listed(base, KINDS), 256).alias("base_sha256"),
         listed(spans, KINDS).alias("spans"),
@@ -136,19 +161,22 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with personal data in the text generalised to labels such as ``[EMAIL]``.
 
     Spans that overlap get the label of the one that begins first. Null texts stay null and texts without
-    spans stay as they are; ``n_chars``, if there, is set anew; all other columns are kept.
+    spans stay as they are; ``n_chars``, if there, is set anew; all other columns are kept, whatever their
+    names. Repeated rows give repeated results, an empty table an empty one.
     """
-    found = with_spans(docs, id_col, text_col)
-    text = F.col(text_col)
+    found = with_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     labels = F.array(*[F.lit(x) for x in LABELS])
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.element_at(labels, s["kind"] + 1)).alias("out"))
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] < state["at"], inside).otherwise(new)
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.array_sort("__spans"), zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = found.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans")
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    def rewritten(blocks: Column, spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        done = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(spans) - 1))
+        steps = F.filter(F.zip_with(spans, done, lambda s, d: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), d.alias("done"))), lambda x: x["start"] >= x["done"])
+        kept = F.transform(steps, lambda x: F.concat(part(blocks, x["done"], x["start"]), F.element_at(labels, x["kind"] + 1)))
+        return F.concat(F.array_join(kept, ""), part(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length("text")))
+
+    clean = bound(in_blocks(F.col("text")), lambda blocks: bound(F.sort_array("spans"), lambda spans: rewritten(blocks, spans)))
+    out = found.select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text"))
+    new = {text_col: F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
