@@ -311,9 +311,11 @@ def made_texts():
     return [(int(k), texts[j]) for k, j in enumerate(order)]
 
 
-@pytest.mark.parametrize("short", [4, 32])
-def test_components_by_brute_force(spark, monkeypatch, short):
+@pytest.mark.parametrize(("short", "extra"), [(1, 2), (4, 0), (32, 2), (32, 5)])
+def test_components_by_brute_force(spark, monkeypatch, short, extra):
     monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "EXTRA", extra)
+    monkeypatch.setattr(ngram_join, "PART", 8)
     texts = made_texts()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
     assert got == brute_components(texts)
@@ -332,6 +334,28 @@ def test_one_document_of_each_group_stays(spark):
     assert {r["doc_id"] for r in kept.collect()} == want | {None} and kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_the_heap_merge_counts_occurrences():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        lists = [sorted(set(rng.integers(0, 40, rng.integers(0, 25)).tolist())) for _ in range(rng.integers(0, 9))]
+        for least in (1, 2, 3, 5):
+            count = Counter(x for one in lists for x in one)
+            assert ngram_join.occurrences(lists, least) == sorted((x, n) for x, n in count.items() if n >= least)
+
+
+def test_one_row_stays_of_repeated_rows(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    texts = [(1, a)] * 5 + [(2, a), (3, b), (3, b), (4, a + " x"), (5, "lone words"), (5, "other text"), (6, None), (6, None), (7, ""), (None, a), (None, a)] + [(3, a)]
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(frame(spark, texts)).collect())
+    assert kept == {(1, a): 1, (3, b): 1, (5, "lone words"): 1, (5, "other text"): 1, (6, None): 2, (7, ""): 1, (None, a): 2}
+
+
+def test_a_shingle_that_all_share(spark):
+    texts = [(k, f"a b c d e {k} " + " ".join(f"w{k}x{j}" for j in range(k % 3))) for k in range(20_000)]
+    out = ngram_join.near_duplicates(frame(spark, texts, 8))
+    assert out.where("component_id <> doc_id").count() == 0 and out.count() == 20_000
+
+
 @pytest.mark.parametrize("small", [20_000, 3])
 def test_connected_components(spark, monkeypatch, small):
     monkeypatch.setattr(components, "SMALL", small)

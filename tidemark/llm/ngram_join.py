@@ -2,43 +2,52 @@
 
 Two documents link when their shingle sets have a Jaccard similarity of at least 3/4. Documents with equal
 sets form a class, and classes are joined. A set of n shingles needs an overlap of T = ceil(3n/4) with any
-partner, so two partners share one of the first n - T + 1 shingles of each, in any order that is the same
-for all. The order puts the members of short inverted lists first, by hash, and those of long lists last.
+partner. Each set is a query, and its inverted lists are divided into those that are merged and those that
+are probed. All sets take their shingles in one order: those of short lists first, by hash, those of long
+lists last. The first n - T + 1 + ``EXTRA`` are merged, the other T - 1 - ``EXTRA`` are probed.
 
 * Counting: all shingles of all texts are counted. Lists longer than ``SHORT`` are long; if there are more
   than ``LONG_LISTS`` of them, the limit rises until there are not, which bounds what is sent to executors.
-* Short lists: postings of each set's first shingles are dealt by hash into blocks. A block merges its
-  sorted lists and counts how often two sets occur together; the counts are summed over blocks. A pair
-  stays if its count reaches what is needed beyond the shingles outside the lists (T-occurrence).
-* Long lists: they are never merged. A set with so many long shingles that they alone can reach T is kept
-  with its long shingles. Sets with equal long shingles and sizes behave alike and count once. The others
-  that share one of their first long shingles are compared with the list's hub by probing one sorted array
-  with the other; members that a hub doesn't connect get further hubs, and what then still lies in
-  different components of one list is compared pair by pair.
-* Pairs from short lists are verified on the whole texts of one document of each class.
-
-Texts are read again for each step instead of keeping shingles on disk; hashes travel packed in binary
-blocks. No step brings links, components or documents to the driver.
+* Merging: postings are dealt by shingle, which gives the short lists, and each list goes to its members,
+  dealt by query. There a heap merges the lists of a query; where fewer lists than required stand at the top,
+  others are advanced by binary search (MergeSkip). A partner must occur often enough to reach the overlap
+  together with all lists that are not merged.
+* Probing: for each candidate the query's shingles are looked up in the partner's sorted set by binary
+  search, which tells in which lists the partner stands without reading these lists. The exact overlap
+  decides. Sets are made once for each class that is a candidate, from whole texts.
+* Long lists are never merged. A set with so many long shingles that they alone can reach T is kept with its
+  long shingles. Sets with equal long shingles and sizes behave alike and count once. The others that share
+  one of their first long shingles are compared with the list's hub, again by binary search; members that a
+  hub doesn't connect get further hubs, and what then still lies in different components of one list is
+  compared pair by pair. Long lists are split into parts of ``PART`` members, so none lands in one task.
+
+Hashes travel packed in binary blocks. No step brings links, components or documents to the driver.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, slices, utf8
 from tidemark.llm.components import components
-from tidemark.llm.shingles import digests, shingle_sets
+from tidemark.llm.shingles import digests, mix, shingle_sets
 
 #: Classes in a short list at least; long lists at most.
 SHORT, LONG_LISTS = 32, 1 << 22
 #: Keys that a task holds before it writes blocks.
 HELD = 1 << 20
 HUBS = 2
+#: Lists that are merged beyond the fewest that can show every partner: a partner then occurs at least 1 + EXTRA times.
+EXTRA = 2
+#: Members of a long list that one row of the list's hub meets.
+PART = 256
 
 
 def _least(n):
@@ -85,17 +94,25 @@ def _packed(table: pa.Table, types: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(f"c{k}").to_pylist()), t) for k, t in enumerate(types)]
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _has_words(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, class_id) of each row; rows of one class have equal shingle sets, 0 is the empty one."""
+    """(id, n_shingles, text_hash, class_id) of each row; rows of one class have equal shingle sets, 0 is the empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, "text"):
                 value, start = shingle_sets(*utf8(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(start)), pa.array(digests(value, start).view(np.int64))], names=[id_col, "n_shingles", "class_id"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(start)), part.column(2), pa.array(digests(value, start).view(np.int64))], names=[id_col, "n_shingles", "text_hash", "class_id"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, class_id long")
+    return docs.select(id_col, F.col(text_col).alias("text"), _text_hash(text_col).alias("text_hash")).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, text_hash long, class_id long")
 
 
 def long_lists(docs: DataFrame, text_col: str, blocks: int) -> np.ndarray:
@@ -143,15 +160,44 @@ def _is_long(value: np.ndarray, long: np.ndarray, blocks: int) -> np.ndarray:
     return long[np.minimum(np.searchsorted(long, key), len(long) - 1)] == key
 
 
-def short_pairs(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
-    """(a, b) classes that occur together in short lists often enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def occurrences(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(value, lists that hold it) of the values that stand in at least ``least`` of the ascending lists."""
+    heap = [(one[0], k) for k, one in enumerate(lists) if one]
+    heapify(heap)
+    at = [0] * len(lists)
+    out = []
+    while len(heap) >= least:
+        top = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == top:
+            popped.append(heappop(heap)[1])
+        if len(popped) >= least:
+            out.append((top, len(popped)))
+            to = top + 1
+        else:
+            # No value before the one that is then on top can be in enough lists.
+            while len(popped) < least - 1:
+                popped.append(heappop(heap)[1])
+            to = heap[0][0] if heap else None
+            if to is None:
+                break
+        for k in popped:
+            one = lists[k]
+            at[k] = bisect_left(one, to, at[k])
+            if at[k] < len(one):
+                heappush(heap, (one[at[k]], k))
+    return out
+
+
+def candidates(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
+    """(a, b) classes, a < b, that occur together in merged lists often enough."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, cls, n, more = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _deal(key, blocks, [cls, n, more])
+            key, cls, n, free = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _deal(key, blocks, [cls, n, free])
 
         for value, n, cls in _sets(batches, text_col):
             row = np.repeat(np.arange(len(n)), n)
@@ -159,12 +205,10 @@ def short_pairs(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
             before = np.cumsum(short) - short
             begin = np.cumsum(n) - n
             rank = before - (before[begin] if len(begin) else before)[row]
-            many = np.bincount(row[short], minlength=len(n))
-            first = n - _least(n) + 1
-            more = np.maximum(n - many - (n - first), 0)
-            post = short & (rank < first[row])
-            row = row[post]
-            held.append((value[post], cls[row], n[row].astype(np.uint32), more[row].astype(np.uint32)))
+            merged = np.minimum(n - _least(n) + 1 + EXTRA, np.bincount(row[short], minlength=len(n)))
+            posted = short & (rank < merged[row])
+            row = row[posted]
+            held.append((value[posted], cls[row], n[row].astype(np.uint32), (n - merged)[row].astype(np.uint32)))
             size += len(row)
             if size > HELD // 2:
                 yield from flush()
@@ -172,61 +216,98 @@ def short_pairs(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
         if size:
             yield from flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        key, cls, n, more = _packed(table, ["u4", "i8", "u4", "u4"])
+    def lists(table: pa.Table) -> pa.Table:
+        """The part of each list that follows a member, for the member as query; packed by bucket of the query."""
+        key, cls, n, free = _packed(table, ["u4", "i8", "u4", "u4"])
         order = np.lexsort((cls, key))
-        key, cls, n, more = key[order], cls[order], n[order].astype(np.int64), more[order].astype(np.int64)
+        key, cls, n, free = key[order], cls[order], n[order], free[order]
         new = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
-        key, cls, n, more = key[new], cls[new], n[new], more[new]
-        left, right, at, step = [], [], np.arange(len(key)), 0
+        key, cls, n, free = key[new], cls[new], n[new], free[new]
+        left, right, at, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key)), 0
         while len(at):
             step += 1
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
-            close = at[4 * np.minimum(n[at], n[at + step]) >= 3 * np.maximum(n[at], n[at + step])]
+            close = at[4 * np.minimum(n[at], n[at + step]).astype(np.int64) >= 3 * np.maximum(n[at], n[at + step]).astype(np.int64)]
             left.append(close), right.append(close + step)
-        i, j = np.concatenate(left or [at]), np.concatenate(right or [at])
-        order = np.lexsort((cls[j], cls[i]))
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.append(True, (cls[i][1:] != cls[i][:-1]) | (cls[j][1:] != cls[j][:-1])))[: len(i)]
-        times = np.diff(np.append(first, len(i)))
-        i, j = i[first], j[first]
-        free = np.maximum(_least(n[i]) - 1 + more[i], _least(n[j]) - 1 + more[j])
-        need = -(-3 * (n[i] + n[j]) // 7) - free
-        return pa.table({"a": cls[i], "b": cls[j], "times": pa.array(times), "need": pa.array(need)})
-
-    posts = docs.select(text_col).mapInArrow(run, "block int, c0 binary, c1 binary, c2 binary, c3 binary")
-    pairs = posts.groupBy("block").applyInArrow(merge, "a long, b long, times long, need long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
-    return pairs.where(F.col("times") >= F.col("need")).select("a", "b")
-
-
-def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of the sets in equal rows of two flat arrays with starts."""
-    rows = len(a[1]) - 1
-    row = np.concatenate([np.repeat(np.arange(rows), np.diff(s)) for _, s in (a, b)])
-    value = np.concatenate([a[0], b[0]])
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
-    return np.bincount(row[1:][(value[1:] == value[:-1]) & (row[1:] == row[:-1])], minlength=rows)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) classes whose texts link. ``classes``: (class_id, rep)."""
+        left, right = np.concatenate(left), np.concatenate(right)
+        bucket = (mix(cls[left].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((right, left, bucket))
+        left, right, bucket = left[order], right[order], bucket[order]
+        first = np.flatnonzero(np.append(True, left[1:] != left[:-1]))[: len(left)]
+        size = np.diff(np.append(first, len(left)))
+        there, start = np.unique(bucket[first], return_index=True)
+        stop = np.append(start[1:], len(first)) if len(first) else start
+        query, flat = left[first], np.append(first, len(left))
+        rows = [(slice(a, b), slice(flat[a], flat[b])) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        columns = {"c0": (0, cls[query]), "c1": (0, n[query]), "c2": (0, free[query]), "c3": (0, size.astype(np.uint32)), "c4": (1, cls[right]), "c5": (1, n[right]), "c6": (1, free[right])}
+        packed = {name: pa.array([x[row[which]].tobytes() for row in rows], pa.binary()) for name, (which, x) in columns.items()}
+        return pa.table({"bucket": pa.array(there.astype(np.int32)), **packed})
+
+    def merge(table: pa.Table) -> pa.Table:
+        query, qn, qfree, size, cls, n, free = _packed(table, ["i8", "u4", "u4", "u4", "i8", "u4", "u4"])
+        end = np.cumsum(size)
+        order = np.argsort(query, kind="stable")
+        new = np.flatnonzero(np.append(True, query[order][1:] != query[order][:-1]))
+        slack = (_least(n.astype(np.int64)) - free).tolist()
+        members, sizes, frees = cls.tolist(), n.tolist(), free.tolist()
+        begin, end = (end - size).tolist(), end.tolist()
+        a, b = [], []
+        for x, y in zip(new.tolist(), np.append(new[1:], len(order)).tolist(), strict=True):
+            own = order[x:y].tolist()
+            q, nq, fq = int(query[own[0]]), int(qn[own[0]]), int(qfree[own[0]])
+            known, least = {}, _least(nq) - fq
+            for k in own:
+                least = min(least, min(slack[begin[k] : end[k]]))
+                known.update(zip(members[begin[k] : end[k]], range(begin[k], end[k]), strict=True))
+            for c, times in occurrences([members[begin[k] : end[k]] for k in own], max(least, 1)):
+                i = known[c]
+                if times >= -(-3 * (nq + sizes[i]) // 7) - max(fq, frees[i]):
+                    a.append(q), b.append(c)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    posts = docs.select(text_col).mapInArrow(post, "block int, c0 binary, c1 binary, c2 binary, c3 binary")
+    sent_on = posts.groupBy("block").applyInArrow(lists, "bucket int, " + ", ".join(f"c{k} binary" for k in range(7)))
+    return sent_on.groupBy("bucket").applyInArrow(merge, "a long, b long")
+
+
+def _probe(a: np.ndarray, b: np.ndarray) -> int:
+    """Members of the smaller sorted set that binary search finds in the larger."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (a, b, na, sa, nb, sb) whose sorted, packed sets share enough."""
+    for batch in batches:
+        na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(4))
+        both = np.array([_probe(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(7 * both >= 3 * (na + nb)))
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that link by their ``sets`` (id, n, packed)."""
+    left, right = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"s{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_linked, "a long, b long")
+
+
+def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, packed) of the classes in ``pairs``, once each. ``classes``: (class_id, rep)."""
     inside = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
     texts = classes.join(inside, "class_id").join(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep").select("class_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ta"):
-                a, b = shingle_sets(*utf8(part.column(2))), shingle_sets(*utf8(part.column(3)))
-                same = (digests(*a).view(np.int64) == np.asarray(part.column(0))) & (digests(*b).view(np.int64) == np.asarray(part.column(1)))
-                both = _overlap(a, b)
-                keep = same & (7 * both >= 3 * (np.diff(a[1]) + np.diff(b[1])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            for part in slices(batch, "text"):
+                value, start = shingle_sets(*utf8(part.column(1)))
+                own = digests(value, start).view(np.int64) == np.asarray(part.column(0))  # rows that share an id may differ
+                packed = [value[x:y].tobytes() for x, y in zip(start[:-1], start[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(start)), pa.array(packed, pa.binary())], names=["id", "n", "packed"]).filter(pa.array(own))
 
-    joined = pairs.join(texts.withColumnsRenamed({"class_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"class_id": "b", "text": "tb"}), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    found = texts.mapInArrow(run, "id long, n long, packed binary")
+    return checkpoint(found.groupBy("id").agg(F.first("n").alias("n"), F.first("packed").alias("packed")))
 
 
 def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame | None:
@@ -267,23 +348,7 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
 
     posts = alike.select("id", "n", "longs").mapInArrow(first, "shingle long, id long, n long, left long")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            parts = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-            return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
-                both = _overlap(flat(part.column(3)), flat(part.column(5)))
-                keep = 7 * both >= 3 * (np.asarray(part.column(2)) + np.asarray(part.column(4)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        left = alike.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("longs").alias("la"))
-        right = alike.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("longs").alias("lb"))
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "la", "nb", "lb")
-        return checkpoint(joined.mapInArrow(probe, "a long, b long"))
+    whole = alike.select("id", "n", F.col("longs").alias("packed"))
 
     # From the first shingle that two sets share on, both must have enough left to reach the overlap that both need.
     able = F.least("la", "lb") * 7 >= (F.col("na") + F.col("nb")) * 3
@@ -294,21 +359,26 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
             placed = posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
             open_ = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
             lists = checkpoint(placed.join(open_, "shingle"))
+            if lists.isEmpty():
+                break
         else:
             lists = posts.withColumn("component", F.col("id"))
+        # The first hub is the set with fewest short shingles: what others were made from, if it is there.
+        rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("n") - F.col("left")).alias("rank"), "id", "n", "left", "component")
+        hubs = checkpoint(lists.groupBy("shingle").agg(F.min(rank).alias("h"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+        parts = hubs.select("shingle", "parts")
         if turn < HUBS:
-            # The first hub is the set with fewest short shingles: what others were made from, if it is there.
-            rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("n") - F.col("left")).alias("rank"), "id", "n", "left", "component")
-            hubs = lists.groupBy("shingle").agg(F.min(rank).alias("h"))
-            left = hubs.select("shingle", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.left").alias("la"), F.col("h.component").alias("ca"))
+            left = hubs.select("shingle", F.col("h.id").alias("a"), F.col("h.n").alias("na"), F.col("h.left").alias("la"), F.col("h.component").alias("ca"), "parts")
         else:
-            left = lists.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("component").alias("ca"))
-        right = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("component").alias("cb"))
-        pairs = left.join(right, "shingle").where("ca <> cb").where(able)
+            left = lists.join(parts, "shingle").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("component").alias("ca"), "parts")
+        # A row of the left meets each part of the list; members are dealt over the parts, of which a short list has one.
+        left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        right = lists.join(parts, "shingle").select(
+            "shingle", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("component").alias("cb")
+        )
+        pairs = left.join(right, ["shingle", "part"]).where("ca <> cb").where(able)
         pairs = (pairs if turn < HUBS else pairs.where("a < b")).select("a", "b").distinct()
-        if turn and lists.isEmpty():
-            break
-        new = linked(pairs)
+        new = checkpoint(linked(pairs, whole))
         edges = new if edges is None else edges.unionByName(new)
     # Sets that are alike link among themselves if their long shingles suffice, or if they link to another kind, which all of them do.
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("linked", F.lit(True))
@@ -317,13 +387,8 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
     return edges.unionByName(members.select(F.col("id").alias("a"), F.col("class_id").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, itself included).
-
-    Empty and null texts have no shingles and link with nothing. Rows with a null id are profiled but not
-    linked; their component is null. Repeated rows and copies are in one component. Other columns are not
-    read; an empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_shingles, text_hash, class_id, component, component_id) of each row; ``text_hash`` tells rows that share an id apart, ``component`` components."""
     sc = docs.sparkSession.sparkContext
     rows = checkpoint(profile(docs, id_col, text_col))
     classes = rows.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy("class_id").agg(F.min(id_col).alias("rep"))
@@ -332,24 +397,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
     blocks = _blocks(total)
     sent = sc.broadcast(long_lists(known, text_col, blocks))
-    pairs = checkpoint(short_pairs(known, text_col, blocks, sent))
-    edges = verified(pairs, known, classes, id_col, text_col)
+    pairs = checkpoint(candidates(known, text_col, blocks, sent))
+    edges = linked(pairs, sets_of(pairs, known, classes, id_col, text_col))
     if len(sent.value):
         long = long_links(known, text_col, blocks, sent)
         edges = edges if long is None else edges.unionByName(long)
     comp = components(edges).withColumnRenamed("id", "class_id")
     placed = classes.join(comp, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = placed.join(least, "component").select("class_id", "component_id")
+    found = placed.join(least, "component").select("class_id", "component", "component_id")
     out = rows.join(found, "class_id", "left")
     own = F.when(F.col(id_col).isNull(), F.lit(None)).otherwise(F.coalesce("component_id", id_col))
-    return out.select(id_col, "n_shingles", own.alias("component_id"))
+    return out.withColumn("component_id", own)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, itself included).
+
+    Empty and null texts have no shingles and link with nothing. Rows with a null id are profiled but not
+    linked; their component is null. Repeated rows and copies are in one component. Other columns are not
+    read; an empty table gives an empty result.
+    """
+    return _grouped(docs, id_col, text_col).select(id_col, "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that stay when each component keeps the document with its
-    smallest id, once; rows without an id or without shingles all stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col, F.col("n_shingles").alias("__n")).dropDuplicates([id_col])
-    kept = docs.join(keep, id_col, "left").where(F.col("__n").isNotNull() | F.col(id_col).isNull())
-    return kept.select(*docs.columns)
+    """The rows of ``docs``, with all columns, that stay when each component keeps one row of the document with
+    its smallest id.
+
+    Of rows with that id in the component, those of one text count (the least by hash), and of those that also
+    share the text any one. Rows without an id or without words all stay. Columns may have any name; an empty
+    table gives an empty result.
+    """
+    found = _grouped(docs, id_col, text_col).where((F.col("n_shingles") > 0) & (F.col(id_col) == F.col("component_id")))
+    keep = found.groupBy("component", F.col(id_col).alias("id"), "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    keep = keep.groupBy("component").agg(F.min(F.struct("id", "text_hash", "copies")).alias("k")).select("k.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _text_hash(text_col).alias("text_hash"), _has_words(text_col).alias("words"))
+    loose = F.col("id").isNull() | ~F.col("words")
+    kept = whole.where(~loose).join(checkpoint(keep), ["id", "text_hash"])
+    once = kept.where("copies = 1").select("row")
+    again = kept.where("copies > 1").groupBy("id", "text_hash").agg(F.any_value("row").alias("row")).select("row")
+    return whole.where(loose).select("row").unionByName(once).unionByName(again).select("row.*")
