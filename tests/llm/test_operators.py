@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -406,6 +407,19 @@ def test_scattered_and_short_items_in_long_texts(spark, monkeypatch):
     assert decontaminate.contained_items(docs, held.limit(0)).count() == 0 and decontaminate.without_items(docs, held.limit(0)).count() == docs.count()
 
 
+def test_long_items_leave_short_ones_alone(spark):
+    rng = np.random.default_rng(14)
+    doc = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    items = [doc(n) for n in (20, 100, 2_000, 8_000, 20_000)]
+    texts = [doc(n) + item + doc(300) for item in items for n in (0, 17, 4_000)] + [doc(40_000), items[4][:15_200], items[4][:14_000]]
+    block = decontaminate.Items(list(range(5)), [" ".join(t) for t in items], 0.75)
+    assert max(len(g.seeds) for g in block.groups) <= 50 and len(block.groups) == 5
+    want = {(k, i) for k, t in enumerate(texts) for i, item in enumerate(items) if len(shingles(" ".join(t)) & shingles(" ".join(item))) >= 0.75 * len(shingles(" ".join(item)))}
+    held = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(0, " ".join(items[0]))] * 3, "item_id long, text string")
+    out = decontaminate.contained_items(frame(spark, [(k, " ".join(t)) for k, t in enumerate(texts)]), held).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == want and (16, 4) in want and Counter(r["item_id"] for r in out)[0] == 4 * 3
+
+
 # language model
 
 
@@ -474,6 +488,28 @@ def test_held_out_languages(spark, sf_dir):
 # quality
 
 
+def statistics_by_hand(t):
+    words_, chars, lines = [w for w in re.split(r"[ \t\n\x0B\f\r]+", t) if w], len(t), t.split("\n")
+    letters = [unicodedata.category(c) for c in t]
+    share = lambda n: n / (chars + 1)
+    return {
+        "log_chars": math.log1p(chars), "word_chars": chars / (len(words_) + 1), "distinct_words": len(set(words_)) / (len(words_) + 1), "upper": share(letters.count("Lu")),
+        "digit": share(sum(c in "0123456789" for c in t)), "symbol": share(sum(k[0] not in "LN" and c not in " \t\n\x0B\f\r.," for c, k in zip(t, letters, strict=True))),
+        "mark": share(t.count("!") + t.count("?")), "bar": share(t.count("|")), "lines": len(lines) / (len(words_) + 1), "distinct_lines": len(set(lines)) / len(lines),
+        "line_chars": math.log1p(chars / len(lines)), "short_words": sum(len(w) <= 3 for w in words_) / (len(words_) + 1),
+        "sentence_words": len(words_) / (sum(c in ".!?" for c in t) + 1), "commonest": max(Counter(words_).values(), default=0) / (len(words_) + 1),
+    }
+
+
+def test_statistics_by_hand(spark, small_dir):
+    texts = sample(spark, small_dir, 80) + [(9001, ""), (9002, None), (9003, "a a b\n\na | É ½! 12?"), (9004, "Zwei  zwei\tdrei.\n" * 50), (9005, "\n\n")]
+    out = quality.with_statistics(frame(spark, texts)).collect()
+    by_id = dict(texts)
+    for r in out:
+        want = statistics_by_hand(by_id[r["doc_id"]] or "")
+        assert {k: r[f"__{k}"] for k in quality.STATISTICS} == pytest.approx(want)
+
+
 def test_held_out_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = quality.classify_quality(docs, labels).join(labels, "doc_id").collect()

@@ -24,10 +24,13 @@ def fold(doc_id: str, folds: int) -> Column:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder of the session and cuts its lineage.
 
-    A folder is set here only where the session names none, as in local tests.
+    Only a session on one machine may name none, as in tests; it gets a temporary one. On a cluster that folder
+    would be another one on each machine, so a missing name is an error there.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 

@@ -27,6 +27,17 @@ STATISTICS = (
 )
 
 
+def commonest(words: Column) -> Column:
+    """How often the commonest word of an array stands in it: the longest run after sorting, in one fold."""
+
+    def step(state: Column, w: Column) -> Column:
+        run = F.when(w == state["word"], state["run"] + 1).otherwise(1)
+        return F.struct(w.alias("word"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    zero = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    return F.aggregate(F.sort_array(words), zero, step, lambda s: s["most"])
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the statistics of the text as columns ``__<name>``; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -51,7 +62,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "line_chars": F.log1p(chars / F.size("__split")),
         "short_words": F.size(F.filter("__words", lambda w: F.length(w) <= 3)) / (words + 1),
         "sentence_words": words / (F.regexp_count("__text", F.lit("[.!?]")) + 1),
-        "commonest": F.size(F.filter("__words", lambda w: w == F.get("__words", F.lit(5)))) / (words + 1),
+        "commonest": commonest(F.col("__words")) / (words + 1),
     }
     return df.withColumns({f"__{k}": v.cast("double") for k, v in stats.items()}).drop("__text", "__words", "__split")
 
@@ -185,7 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.orderBy(F.xxhash64(id_col), F.col(id_col)).limit(sample)
     rows = with_statistics(docs.select(id_col, text_col).join(F.broadcast(marks), id_col), text_col)
     names = [f"__{k}" for k in STATISTICS]
-    data = rows.select(id_col, *names, "__quality").limit(2 * sample).toPandas().sort_values([id_col, *names])
+    # Rows that share an id count as one, with the means of their statistics, so there are ``sample`` at most.
+    rows = rows.groupBy(id_col).agg(*[F.avg(c).alias(c) for c in (*names, "__quality")])
+    data = rows.toPandas().sort_values([id_col])
     return fit(data[names].to_numpy(float), (data["__quality"].to_numpy(float) >= 0.5).astype(float))
 
 
@@ -202,6 +215,9 @@ def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
 def only_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that the model does not reject (scores of at least ``CUT``).
 
+    Null and empty texts get the score of the statistics of the empty text; repeated rows all stay or all go;
+    columns may have any names; an empty table gives an empty result.
+
     The score passes through a generator, which keeps the condition above it: pushed down to the scan, it
     would work out the statistics anew for each rule that uses them.
     """
