@@ -42,7 +42,9 @@ from tidemark.llm.shingles import digests, mix, shingle_sets
 #: Classes in a short list at least; long lists at most.
 SHORT, LONG_LISTS = 32, 1 << 22
 #: Keys that a task holds before it writes blocks.
-HELD = 1 << 20
+HELD = 1 << 19
+#: Bytes of text that a task turns into shingles at once.
+SLICE = 1 << 20
 HUBS = 2
 #: Lists that are merged beyond the fewest that can show every partner: a partner then occurs at least 1 + EXTRA times.
 EXTRA = 2
@@ -64,7 +66,7 @@ def _sets(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[np
     """(shingles, sizes, class ids) of the sets that this task has not met before; empty sets are left out."""
     seen: set[int] = set()
     for batch in batches:
-        for part in slices(batch, text_col):
+        for part in slices(batch, text_col, SLICE):
             value, start = shingle_sets(*utf8(part.column(part.schema.get_field_index(text_col))))
             cls = digests(value, start).view(np.int64)
             n = np.diff(start)
@@ -108,7 +110,7 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 value, start = shingle_sets(*utf8(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(start)), part.column(2), pa.array(digests(value, start).view(np.int64))], names=[id_col, "n_shingles", "text_hash", "class_id"])
 
@@ -210,7 +212,7 @@ def candidates(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
             row = row[posted]
             held.append((value[posted], cls[row], n[row].astype(np.uint32), (n - merged)[row].astype(np.uint32)))
             size += len(row)
-            if size > HELD // 2:
+            if size > HELD:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -282,9 +284,11 @@ def _probe(a: np.ndarray, b: np.ndarray) -> int:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of rows (a, b, na, sa, nb, sb) whose sorted, packed sets share enough."""
     for batch in batches:
-        na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(4))
-        both = np.array([_probe(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(7 * both >= 3 * (na + nb)))
+        for k in range(0, batch.num_rows, 256):  # sets may be large, so few at a time
+            part = batch.slice(k, 256)
+            na, nb = np.asarray(part.column(2)), np.asarray(part.column(4))
+            both = np.array([_probe(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(part.column(3), part.column(5), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(7 * both >= 3 * (na + nb)))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -300,7 +304,7 @@ def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 value, start = shingle_sets(*utf8(part.column(1)))
                 own = digests(value, start).view(np.int64) == np.asarray(part.column(0))  # rows that share an id may differ
                 packed = [value[x:y].tobytes() for x, y in zip(start[:-1], start[1:], strict=True)]
