@@ -362,7 +362,8 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
             comp = components(edges)
             placed = posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
             open_ = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-            lists = checkpoint(placed.join(open_, "shingle"))
+            # Written first, so that the join reads plain exchanges, of which adaptive execution splits a long list.
+            lists = checkpoint(placed.join(checkpoint(open_), "shingle"))
             if lists.isEmpty():
                 break
         else:
