@@ -14,6 +14,14 @@ WEEKDAYS = ("zondag", "maandag", "dinsdag", "woensdag", "donderdag", "vrijdag",
 MONTHS = ("januari", "februari", "maart", "april", "mei", "juni", "juli", "augustus", "september", "oktober", "november", "december")
 #: Characters and their entities.
 ENTITIES = (("&", "&amp;"), ('"', "&quot;"), ("'", "&apos;"), ("<", "&lt;"), (">", "&gt;"))
+#: Ministries and their abbreviations.
+MINISTRIES = (
+    ("Algemene Zaken", "AZ"), ("Defensie", "DEF"), ("Binnenlandse Zaken en Koninkrijksrelaties", "BZK"), ("Economische Zaken", "EZ"),
+    ("Volksgezondheid, Welzijn en Sport", "VWS"), ("Sociale Zaken en Werkgelegenheid", "SZW"), ("Volkshuisvesting en Ruimtelijke Ordening", "VRO"),
+    ("Klimaat en Groene Groei", "KGG"), ("Onderwijs, Cultuur en Wetenschap", "OCW"), ("Asiel en Migratie", "A&M"), ("Justitie en Veiligheid", "J&V"),
+    ("Landbouw, Visserij, Voedselzekerheid en Natuur", "LVVN"), ("Infrastructuur en Waterstaat", "I&W"), ("Financiën", "FIN"),
+    ("Buitenlandse Handel en Ontwikkelingshulp", "BHO"), ("Buitenlandse Zaken", "BZ"),
+)
 NARROW_SPACE, NARROW_DASH = " ", "‑"
 
 
@@ -181,3 +189,25 @@ def ministry(addressee: Column) -> Column:
 def duration_seconds(begin: Column, end: Column) -> Column:
     """Seconds between two local wall-clock texts."""
     return utc_epoch(end) - utc_epoch(begin)
+
+
+def max_or_null(a: Column, b: Column) -> Column:
+    """The greater of two values, null if one is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+
+
+def addressee(function: Column) -> Column:
+    """The ministry that a member of government's function names; null for others."""
+    bare = F.regexp_replace(function, "minister van |minister voor |staatssecretaris van ", "")
+    name = F.when(bare == "minister-president", "Algemene Zaken").otherwise(bare)
+    return F.when(function.contains("inister") | function.contains("taatssecretaris"), name)
+
+
+def ministry_short(name: Column) -> Column:
+    """A ministry's abbreviation; its name where there is none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in MINISTRIES for x in pair])[name], name)
+
+
+def odd_duration(seconds: Column, longest: int = 900) -> Column:
+    """Whether a turn's length can't be right."""
+    return (seconds < 0) | (seconds > longest)

@@ -8,16 +8,62 @@ from pyspark.sql import functions as F
 from tidemark.operators.relational import latest_by
 
 
-def apply_changes(state: DataFrame | None, changes: DataFrame, key: str, seq: str, deleted: Column) -> DataFrame:
-    """The table after a batch of changes: the last write of each key counts, and a tombstone removes it.
+#: Marks the tombstones that a state keeps.
+DELETED = "is_deleted"
+
+
+def merge_changes(state: DataFrame | None, changes: DataFrame, key: str, seq: str, deleted: Column) -> DataFrame:
+    """The state after a batch of changes: the last write of each key, tombstones included (``is_deleted``).
 
-    ``state`` has the columns of ``changes``; an older change that arrives late does not undo a newer one.
+    ``state`` is what an earlier call returned. A change that arrives late does not undo a newer one, and a
+    write that is older than a tombstone does not bring its row back, whatever the batches. Of a write and a
+    tombstone with one ``seq`` the tombstone counts. Rows with a null key are one key.
     """
-    marked = changes.withColumn("__deleted", deleted)
+    marked = changes.withColumn(DELETED, deleted)
     if state is not None:
-        marked = marked.unionByName(state.withColumn("__deleted", F.lit(False)))
-    last = latest_by(marked, [key], seq)
-    return last.where(~F.col("__deleted")).select(*changes.columns)
+        marked = marked.unionByName(state)
+    order = F.struct(F.col(seq), F.col(DELETED))
+    last = marked.groupBy(key).agg(F.max_by(F.struct(*[c for c in marked.columns if c != key]), order).alias("last"))
+    return last.select(*[F.col(c) if c == key else F.col("last").getField(c).alias(c) for c in marked.columns])
+
+
+def visible(state: DataFrame) -> DataFrame:
+    """The rows of a state that no tombstone has removed."""
+    return state.where(~F.col(DELETED)).drop(DELETED)
+
+
+def apply_changes(state: DataFrame | None, changes: DataFrame, key: str, seq: str, deleted: Column) -> DataFrame:
+    """The visible table after a batch of changes.
+
+    ``state`` is one of ``merge_changes``, or a table without tombstones; from the latter a write that is older
+    than a forgotten tombstone can't be told from a new one.
+    """
+    if state is not None and DELETED not in state.columns:
+        state = state.withColumn(DELETED, F.lit(False))
+    return visible(merge_changes(state, changes, key, seq, deleted))
+
+
+def materialise(df: DataFrame, name: str) -> None:
+    """Writes a query's result as a table and then puts it in the place of the older one."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").saveAsTable(f"{name}__new")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {name}__new RENAME TO {name}")
+
+
+def append(df: DataFrame, path: str, day: str) -> None:
+    """Adds rows to a table that is kept by day."""
+    df.write.mode("append").partitionBy(day).parquet(path)
+
+
+def recent(rows: DataFrame, day: str, as_of: Column, days: int) -> DataFrame:
+    """Rows of the last ``days`` days, for retention and for rolling indexes; on a table kept by day it reads those days only."""
+    return rows.where(F.col(day) > F.date_format(F.date_sub(as_of.cast("date"), days), "yyyy-MM-dd"))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Bulk delete: rows whose key is not in ``gone``; a null key stays."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
 def surviving_edges(edges: DataFrame, tombstones: DataFrame, seq: str, ends: tuple[str, str] = ("van", "naar")) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.operators import relational as R
 from tidemark.plans import query
 from tidemark.search import engine as S
 from tidemark.sources.tables import table
+from tidemark.streaming.feed import scratch
 
 _TOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{M}_]+')"
 
@@ -19,8 +20,22 @@ def _has(phrase: str) -> str:
     return rf"regexp_matches(strip_accents(lower(text)), '(^|[^\p{{L}}\p{{N}}_]){phrase}([^\p{{L}}\p{{N}}_]|$)')"
 
 
+#: Where the index of a data directory lies, by application and directory.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the index of the documents; it is built by the first query that asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        path = scratch(spark)
+        S.write_index(table(spark, sf_dir, "documents"), "doc_id", ["text"], path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.build_index(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return S.read_index(spark, stored_index(spark, sf_dir))
 
 
 @query(rf"""SELECT doc_id FROM documents WHERE ({_has('eran')} AND {_has('erth')} AND NOT {_has('eror')}) OR {_has('erat[^a-z]+of')} OR {_has('thionth[a-z]*')}""")
@@ -37,9 +52,10 @@ SELECT doc_id, round(-greatest(ln((n - n1 + 0.5::DOUBLE) / (n1 + 0.5::DOUBLE)),
   - greatest(ln((n - n2 + 0.5::DOUBLE) / (n2 + 0.5::DOUBLE)), 1e-6) * f2 * 2.2::DOUBLE / (f2 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)), 6) AS score
 FROM d, s WHERE f1 > 0 AND f2 > 0""")
 def search_bm25(spark: SparkSession, sf_dir: str, typed: str = "eran erth") -> DataFrame:
-    """Documents with both words, and their rank."""
+    """Documents with both words, and their rank, best first."""
     index = _index(spark, sf_dir)
-    return S.with_score(S.match(index, typed), index, typed).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    scored = S.with_score(S.match(index, typed), index, typed, S.read_lengths(spark, stored_index(spark, sf_dir)))
+    return scored.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy("score", "doc_id")
 
 
 @query(f"""
@@ -50,7 +66,7 @@ def search_ranked_newest(spark: SparkSession, sf_dir: str, typed: str = "the OR
     """The newest 280 hits of some categories since a day; the kind is filtered after the limit."""
     datum = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("category"), datum.alias("datum"))
-    hits = S.search(_index(spark, sf_dir), meta, typed, ["en", "fr", "es"], "2024-03-01")
+    hits = S.search(_index(spark, sf_dir), meta, typed, ["en", "fr", "es"], "2024-03-01", sizes=S.read_lengths(spark, stored_index(spark, sf_dir)))
     return hits.where("category <> 'fr'").select(F.col("doc").alias("doc_id"), F.col("category").alias("lang"), "datum")
 
 

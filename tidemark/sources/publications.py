@@ -27,6 +27,24 @@ def entries(pages: DataFrame, column: str = "json") -> DataFrame:
     return rows.select(_bare(F.col("r.document.id")).alias("id"), *[d(n) for n in ("titel", "omschrijving", "openbaarmakingsdatum", "mutatiedatumtijd", "publisher", "aanbieder")], F.col("r.bestandsType").alias("bestandsType"))
 
 
+def of_day(pages: DataFrame, column: str = "json", allowed: int = 3) -> DataFrame:
+    """The results that a day's list is read for: (day, page, place, result struct ``r``).
+
+    ``pages``: (day, page, json), the pages of each day's list in order. A page is read up to the place where
+    more than ``allowed`` of its results are of other days, and no further page of that day is read; nor is any
+    after an empty page.
+    """
+    rows = pages.select("day", "page", F.from_json(column, LIST)["resultaten"].alias("results"))
+    other = lambda r: (~r["document"]["openbaarmakingsdatum"].eqNullSafe(F.col("day"))).cast("int")
+    zero = F.struct(F.lit(0).alias("other"), F.lit(0).alias("read"))
+    step = lambda s, r: F.struct((s["other"] + other(r)).alias("other"), (s["read"] + (s["other"] + other(r) <= allowed).cast("int")).alias("read"))
+    rows = rows.withColumn("scan", F.aggregate(F.coalesce("results", F.array()), zero, step))
+    ends = (F.col("scan.other") > allowed) | (F.coalesce(F.size("results"), F.lit(0)) <= 0)
+    stops = rows.where(ends).groupBy("day").agg(F.min("page").alias("last"))
+    rows = rows.join(stops, "day", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
+    return rows.select("day", "page", F.posexplode(F.slice("results", F.lit(1), F.col("scan.read"))).alias("place", "r"))
+
+
 def details(rows: DataFrame, id_col: str = "id", column: str = "json", parent_role: str = "hasPart") -> DataFrame:
     """A row for each detail document: first file of the first version, labels as JSON texts, the parent by its role."""
     p = rows.select(id_col, column, F.from_json(column, DETAIL).alias("d"))

@@ -10,12 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.state import apply_changes
+from tidemark.operators.state import merge_changes, visible
+
+#: Buckets of a table that a stream keeps.
+BUCKETS = 64
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below the session's checkpoint folder if it names one."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else os.path.join(tempfile.mkdtemp(prefix="stream-"), "s")
 
 
@@ -53,23 +58,56 @@ def run_once(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataF
     return spark.read.parquet(f"{folder}/out")
 
 
+def _newest(table: DataFrame, before: int | None = None) -> DataFrame:
+    """The rows of the newest version of each bucket. There are at most ``BUCKETS`` rows of places on the driver, and they choose the folders that are read."""
+    if before is not None:
+        table = table.where(F.col("version") < before)
+    places = table.groupBy("bucket").agg(F.max("version").alias("version")).collect()
+    here = F.lit(False)
+    for r in places:
+        here |= (F.col("bucket") == r["bucket"]) & (F.col("version") == r["version"])
+    return table.where(here)
+
+
+def _stored(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.option("basePath", table_path).parquet(table_path)
+
+
 def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, key: str, seq: str, deleted: str):
-    """Keeps a table of the last write of each key: every batch makes a new version of it under ``table_path``.
+    """Keeps a table of the last write of each key, with its tombstones, in buckets of keys.
 
-    A version is a folder named by its batch, so a batch that is run again after a failure writes the same
-    version again; the table is the newest complete one (``current``).
+    A batch reads and writes only the buckets it has changes for, as folders ``version=<batch>/bucket=<b>``; a
+    batch that is run again after a failure writes the same folders again. ``current`` shows the newest version
+    of every bucket, ``expire`` removes the others.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = spark.read.parquet(f"{table_path}/version={number - 1}") if number else None
-        apply_changes(state, batch, key, seq, F.expr(deleted)).write.mode("overwrite").parquet(f"{table_path}/version={number}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        batch = batch.withColumn("bucket", bucket)
+        state = None
+        if number:
+            touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # BUCKETS at most
+            state = _newest(_stored(spark, table_path).where(F.col("bucket").isin(touched)), number).drop("version")
+        merged = merge_changes(state, batch, key, seq, F.expr(deleted))
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/version={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, table_path: str) -> DataFrame:
-    """The newest version of a table kept by ``upsert_stream``."""
-    versions = spark.read.option("basePath", table_path).parquet(table_path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")
+    """The visible rows of a table kept by ``upsert_stream``."""
+    return visible(_newest(_stored(spark, table_path)).drop("version", "bucket"))
+
+
+def expire(spark: SparkSession, table_path: str) -> int:
+    """Removes the folders that newer versions of their bucket have replaced, and returns their number; for times without readers."""
+    places = [(r["bucket"], r["version"]) for r in _stored(spark, table_path).select("bucket", "version").distinct().collect()]
+    newest = {}
+    for bucket, version in places:
+        newest[bucket] = max(version, newest.get(bucket, -1))
+    old = [(bucket, version) for bucket, version in places if version < newest[bucket]]
+    for bucket, version in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/version={version}/bucket={bucket}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(old)
