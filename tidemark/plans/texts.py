@@ -70,7 +70,14 @@ def search_ranked_newest(spark: SparkSession, sf_dir: str, typed: str = "the OR
     return hits.where("category <> 'fr'").select(F.col("doc").alias("doc_id"), F.col("category").alias("lang"), "datum")
 
 
-@query()
+@query(rf"""
+WITH h AS (SELECT doc_id, text FROM documents WHERE {_has('eran')} AND {_has('erth')} ORDER BY doc_id DESC LIMIT 280),
+t AS (SELECT doc_id, string_split_regex(text, '[\p{{L}}\p{{N}}\p{{M}}_]+') AS g, regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+') AS raw FROM h),
+f AS (SELECT *, list_transform(raw, lambda x: strip_accents(lower(x)) IN ('eran', 'erth')) AS hit, list_transform(raw, lambda x: strip_accents(lower(x))) AS w FROM t),
+p AS (SELECT *, unnest(list_filter(range(1, len(hit) + 1), lambda i: hit[i])) AS start FROM f),
+b AS (SELECT doc_id, any_value(g) AS g, any_value(raw) AS raw, any_value(hit) AS hit, arg_min(start, (-len(list_distinct(list_filter(w[start:start + 19], lambda y: y IN ('eran', 'erth')))), start)) AS start FROM p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN start > 1 THEN '...' ELSE '' END || list_aggregate(list_transform(range(start, least(start + 20, len(raw) + 1)),
+  lambda i: CASE WHEN i > start THEN g[i] ELSE '' END || CASE WHEN hit[i] THEN '<b>' || raw[i] || '</b>' ELSE raw[i] END), 'string_agg', '') || CASE WHEN start + 19 < len(raw) THEN '...' ELSE '' END AS snippet FROM b""")
 def search_snippet(spark: SparkSession, sf_dir: str, typed: str = "eran erth") -> DataFrame:
     """The newest hits with the part of the text that shows most of the query."""
     docs = table(spark, sf_dir, "documents")
@@ -140,7 +147,19 @@ def link_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", linking.link_numbers(F.col("text")).alias("linked"))
 
 
-@query()
+_PART = linking.DOSSIER.replace("'", "''")
+_MOTION = linking.MOTION
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, 'zie 36 ' || lpad((doc_id % 900 + 100)::VARCHAR, 3, '0') || ', nr. ' || doc_id % 7 || ' ' || text AS body FROM documents),
+x AS (SELECT doc_id, unnest(list_zip(string_split_regex(body, '{_PART}'), regexp_extract_all(body, '{_PART}', 0), range(len(string_split_regex(body, '{_PART}'))))) AS z FROM t),
+y AS (SELECT doc_id, z[1] AS gap, z[2] AS ref, z[3] AS i, try_cast(regexp_replace(regexp_extract(z[2], '{_PART}', 1), '\s', '', 'g') AS BIGINT) AS nummer, regexp_extract(z[2], '{_PART}', 2) AS suffix, try_cast(regexp_extract(z[2], '{_PART}', 3) AS INT) AS volg FROM x),
+k AS (SELECT 36000 + p_partkey % 1000 AS nummer, min(p_partkey) AS document FROM part GROUP BY 1),
+r AS (SELECT doc_id, string_agg(gap || CASE WHEN ref IS NULL THEN '' WHEN document IS NULL OR ends_with(gap, 'kst-') THEN ref ELSE '<a href="document.html?nummer=' || document || '">' || ref || '</a>' END, '' ORDER BY i) AS body
+  FROM y LEFT JOIN k ON k.nummer = y.nummer AND suffix = '' AND volg = 3 GROUP BY doc_id),
+m AS (SELECT doc_id, unnest(list_zip(string_split_regex(body, '{_MOTION}'), regexp_extract_all(body, '{_MOTION}', 0), range(len(string_split_regex(body, '{_MOTION}'))))) AS z FROM r)
+SELECT doc_id, string_agg(z[1] || CASE WHEN z[2] IS NULL THEN '' ELSE z[2] || ' #' || (z[3] + 1) END, '' ORDER BY z[3]) AS linked FROM m GROUP BY doc_id""")
 def link_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, behind a made-up mention, in which references to dossier parts become links where the part exists, and motions get running numbers."""
     mention = F.concat(F.lit("zie 36 "), F.lpad((F.col("doc_id") % 900 + 100).cast("string"), 3, "0"), F.lit(", nr. "), (F.col("doc_id") % 7).cast("string"), F.lit(" "))

@@ -143,7 +143,7 @@ class _FeedStream(SimpleDataSourceStreamReader):
 
 
 def parse_entries(raw: DataFrame) -> DataFrame:
-    """Entries with their fields and references as maps; an entry that is no XML gives no row."""
+    """Entries with their fields and references as maps; what is no XML is an entry of entity ``_corrupt`` with its text in the field ``xml``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,6 +152,7 @@ def parse_entries(raw: DataFrame) -> DataFrame:
                 try:
                     root = ET.fromstring(r.xml)
                 except (ET.ParseError, TypeError):
+                    rows.append(("_corrupt", r.id, r.skiptoken, r.updated, "", False, "", "", {"xml": r.xml or ""}, []))
                     continue
                 content = next((c for c in root.iter() if _local(c.tag) == "content"), root)
                 node = content[0] if content is not root and len(content) else root
