@@ -40,7 +40,7 @@ SPACES = regex.compile(f"[{_SPACE}]+")
 ODD = regex.compile("[\\x1c-\\x1f]")
 #: A worker remembers runs without white space up to this length: at least this many of those met last, at most twice as
 #: many and what one slice of a batch holds. 65,536 take some 25 MB.
-MEMO_CHARS, MEMO_WORDS = 40, 1 << 17
+MEMO_CHARS, MEMO_WORDS = 40, 1 << 16
 #: Slots of the transition table, as a power of two; words of up to this many bytes advance together.
 ARC_BITS, TOGETHER = 19, 96
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -339,6 +339,10 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.label[i] for i in ids])
 
+    def __getstate__(self) -> dict:
+        """What is sent to workers: the tables, without what was remembered here."""
+        return self.__dict__ | {"young": ({}, {}), "old": ({}, {})}
+
 
 def _apart(names: Iterator[str]) -> list[str]:
     """Names joined by spaces, apart where a name is the line feed."""
@@ -347,7 +351,7 @@ def _apart(names: Iterator[str]) -> list[str]:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One codec for a worker and file."""
+    """The codec of a file, compiled once by the driver."""
     return Codec(path)
 
 
@@ -357,16 +361,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Returns the id column, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by a space),
     ``decoded_sha256`` and, with ``ids``, the ids themselves. A null text counts as empty: no tokens.
     Each row stands alone (repeated rows give repeated results); other columns are not read, and an
-    empty table gives an empty result. ``path`` is a tokenizer file that every worker can open.
+    empty table gives an empty result. ``path`` is a tokenizer file that the driver can open; the compiled tables
+    (some 20 MB for 49,000 tokens, whatever the corpus) are broadcast, and leave the workers with the query.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(codec(path))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = sent.value
         sha = hashlib.sha256
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1 << 20):
                 rows = c.encode_all([t or "" for t in part.column(1).to_pylist()])
                 out = [
                     part.column(0),
