@@ -65,8 +65,21 @@ def two_hops(edges: DataFrame, start: str, middle: str) -> DataFrame:
 
 
 def within_interval(facts: DataFrame, spans: DataFrame, key: str, at: str, begin: str, end: str) -> DataFrame:
-    """Facts joined with the spans of the same key that hold them: begin < at <= end, an open end holds all."""
-    return facts.join(spans, key).where((F.col(begin) < F.col(at)) & ((F.col(at) <= F.col(end)) | F.col(end).isNull()))
+    """Facts joined with the spans of the same key that hold them: begin < at <= end, an open end holds all.
+
+    A span belongs to the level whose buckets are at least as long as it is, and lies in one or two buckets
+    there; a fact lies in one bucket of each level in use (64 at most). So a fact meets only spans near it, and a
+    key with many facts and spans is spread over buckets. Open spans are a level of one bucket.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    place = lambda c: F.when(F.col("__level") < 0, F.lit(0).cast("long")).otherwise(F.floor(micros(c) / F.pow(F.lit(2.0), F.col("__level"))))
+    level = F.when(F.col(end).isNull(), -1).otherwise(F.ceil(F.log2(F.greatest(micros(end) - micros(begin), F.lit(1)))).cast("int"))
+    levelled = spans.withColumn("__level", level)
+    levels = levelled.agg(F.collect_set("__level").alias("__levels"))
+    levelled = levelled.withColumn("__bucket", F.explode(F.array_distinct(F.array_compact(F.array(place(begin), place(end))))))
+    placed = facts.join(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).withColumn("__bucket", place(at))
+    joined = placed.join(levelled, [key, "__level", "__bucket"]).where((F.col(begin) < F.col(at)) & ((F.col(at) <= F.col(end)) | F.col(end).isNull()))
+    return joined.drop("__level", "__levels", "__bucket")
 
 
 def zero_filled_share(facts: DataFrame, group: str, part: str, value: str) -> DataFrame:
