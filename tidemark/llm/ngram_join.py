@@ -10,8 +10,8 @@ lists last. The first n - T + 1 + ``EXTRA`` are merged, the other T - 1 - ``EXTR
   than ``LONG_LISTS`` of them, the limit rises until there are not, which bounds what is sent to executors.
 * Merging: postings are dealt by shingle, which gives the short lists, and each list goes to its members,
   dealt by query. There a heap merges the lists of a query; where fewer lists than required stand at the top,
-  others are advanced by binary search (MergeSkip). A partner must occur often enough to reach the overlap
-  together with all lists that are not merged.
+  others are advanced by binary search (MergeSkip). A partner must occur at least as often as the smaller of
+  both sets' T less the lists that it doesn't merge (their slack, 1 + ``EXTRA`` unless long lists cut it).
 * Probing: for each candidate the query's shingles are looked up in the partner's sorted set by binary
   search, which tells in which lists the partner stands without reading these lists. The exact overlap
   decides. Sets are made once for each class that is a candidate, from whole texts.
@@ -58,8 +58,8 @@ def _least(n):
 
 
 def _blocks(total: int) -> int:
-    """Number of blocks: some 200,000 shingles each, more where that makes over 4096 blocks, up to 4 million."""
-    return max(64, min(total // 200_000, 4096), total // 4_000_000)
+    """Number of blocks: some 400,000 shingles each, more where that makes over 4096 blocks, up to 4 million."""
+    return max(64, min(total // 400_000, 4096), total // 4_000_000)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -198,8 +198,8 @@ def candidates(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, cls, n, free = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _deal(key, blocks, [cls, n, free])
+            key, cls, n, slack = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _deal(key, blocks, [cls, n, slack])
 
         for value, n, cls in _sets(batches, text_col):
             row = np.repeat(np.arange(len(n)), n)
@@ -210,7 +210,8 @@ def candidates(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
             merged = np.minimum(n - _least(n) + 1 + EXTRA, np.bincount(row[short], minlength=len(n)))
             posted = short & (rank < merged[row])
             row = row[posted]
-            held.append((value[posted], cls[row], n[row].astype(np.uint32), (n - merged)[row].astype(np.uint32)))
+            slack = np.clip(_least(n) - (n - merged), 0, 255).astype(np.uint8)
+            held.append((value[posted], cls[row], n[row].astype(np.uint32), slack[row]))
             size += len(row)
             if size > HELD:
                 yield from flush()
@@ -220,11 +221,11 @@ def candidates(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
 
     def lists(table: pa.Table) -> pa.Table:
         """The part of each list that follows a member, for the member as query; packed by bucket of the query."""
-        key, cls, n, free = _packed(table, ["u4", "i8", "u4", "u4"])
+        key, cls, n, slack = _packed(table, ["u4", "i8", "u4", "u1"])
         order = np.lexsort((cls, key))
-        key, cls, n, free = key[order], cls[order], n[order], free[order]
+        key, cls, n, slack = key[order], cls[order], n[order], slack[order]
         new = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
-        key, cls, n, free = key[new], cls[new], n[new], free[new]
+        key, cls, n, slack = key[new], cls[new], n[new], slack[new]
         left, right, at, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key)), 0
         while len(at):
             step += 1
@@ -242,34 +243,31 @@ def candidates(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame:
         stop = np.append(start[1:], len(first)) if len(first) else start
         query, flat = left[first], np.append(first, len(left))
         rows = [(slice(a, b), slice(flat[a], flat[b])) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-        columns = {"c0": (0, cls[query]), "c1": (0, n[query]), "c2": (0, free[query]), "c3": (0, size.astype(np.uint32)), "c4": (1, cls[right]), "c5": (1, n[right]), "c6": (1, free[right])}
+        columns = {"c0": (0, cls[query]), "c1": (0, slack[query]), "c2": (0, size.astype(np.uint32)), "c3": (1, cls[right]), "c4": (1, slack[right])}
         packed = {name: pa.array([x[row[which]].tobytes() for row in rows], pa.binary()) for name, (which, x) in columns.items()}
         return pa.table({"bucket": pa.array(there.astype(np.int32)), **packed})
 
     def merge(table: pa.Table) -> pa.Table:
-        query, qn, qfree, size, cls, n, free = _packed(table, ["i8", "u4", "u4", "u4", "i8", "u4", "u4"])
+        query, own_slack, size, cls, slack = _packed(table, ["i8", "u1", "u4", "i8", "u1"])
         end = np.cumsum(size)
         order = np.argsort(query, kind="stable")
-        new = np.flatnonzero(np.append(True, query[order][1:] != query[order][:-1]))
-        slack = (_least(n.astype(np.int64)) - free).tolist()
-        members, sizes, frees = cls.tolist(), n.tolist(), free.tolist()
+        new = np.flatnonzero(np.append(True, query[order][1:] != query[order][:-1]))[: len(query)]
+        members, slacks = cls.tolist(), slack.tolist()
         begin, end = (end - size).tolist(), end.tolist()
         a, b = [], []
         for x, y in zip(new.tolist(), np.append(new[1:], len(order)).tolist(), strict=True):
             own = order[x:y].tolist()
-            q, nq, fq = int(query[own[0]]), int(qn[own[0]]), int(qfree[own[0]])
-            known, least = {}, _least(nq) - fq
+            needs, least = {}, int(own_slack[own[0]])
             for k in own:
-                least = min(least, min(slack[begin[k] : end[k]]))
-                known.update(zip(members[begin[k] : end[k]], range(begin[k], end[k]), strict=True))
-            for c, times in occurrences([members[begin[k] : end[k]] for k in own], max(least, 1)):
-                i = known[c]
-                if times >= -(-3 * (nq + sizes[i]) // 7) - max(fq, frees[i]):
-                    a.append(q), b.append(c)
+                needs.update(zip(members[begin[k] : end[k]], slacks[begin[k] : end[k]], strict=True))
+            lowest = max(min(least, min(needs.values())), 1)
+            for c, times in occurrences([members[begin[k] : end[k]] for k in own], lowest):
+                if times >= min(least, needs[c]):
+                    a.append(int(query[own[0]])), b.append(c)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     posts = docs.select(text_col).mapInArrow(post, "block int, c0 binary, c1 binary, c2 binary, c3 binary")
-    sent_on = posts.groupBy("block").applyInArrow(lists, "bucket int, " + ", ".join(f"c{k} binary" for k in range(7)))
+    sent_on = posts.groupBy("block").applyInArrow(lists, "bucket int, " + ", ".join(f"c{k} binary" for k in range(5)))
     return sent_on.groupBy("bucket").applyInArrow(merge, "a long, b long")
 
 
