@@ -94,6 +94,21 @@ def test_shards_move_only_into_the_new_one(spark, small_dir):
         assert slots == list(range(len(slots)))
 
 
+def test_a_row_that_repeats_gets_gapless_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 7)
+    out = sharding.assign_shards(frame(spark, [(1, "a")] * 100 + [(2, "b")] * 15), 1).collect()
+    assert sorted(r["slot"] for r in out) == list(range(115)) and {r["shard"] for r in out} == {0}
+
+
+def test_large_ids_keep_their_order(spark):
+    texts = [(2**60 + k, f"text {k}.") for k in range(50)] + [(None, "none")]
+    out = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(frame(spark, texts), blocks=5).collect()}
+    by_id = dict(texts)
+    for k in range(1, 50):
+        mine, following = by_id[2**60 + k], by_id[2**60 + k - 1]
+        assert out[2**60 + k]["edited_sha256"] == hashlib.sha256((mine[: len(mine) - len(mine) // 2] + following[: len(mine) // 2]).encode()).hexdigest()
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
     docs = frame(spark, [(i, str(i)) for i in range(100)])
     sharding.write_shards(docs, str(tmp_path / "s"), 5)

@@ -155,8 +155,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprints of each text and of its edited text, and their likeness to it and to the next document.
 
     The next document is the one that follows in descending id; after the last comes the first again, so a
-    single document follows itself. Null texts count as empty, null ids come last, rows that share an id
-    are ordered by text. Other columns are not read; an empty table gives an empty result.
+    single document follows itself. Ids are whole numbers (others raise). Null texts count as empty, null ids
+    come last, rows that share an id are ordered by text and stand in one range. Other columns are not read; an empty table gives an empty result.
 
     Ids are cut into ranges of about equal counts at approximate percentiles. Each range is sorted and
     read as a stream that holds two documents; to know what follows its last document it also gets the
@@ -164,6 +164,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_col} must be a whole number, not {kind}")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
     blocks = blocks or min(4 * shuffle_partitions(spark), 4096)
     cuts = slim.select(F.percentile_approx("id", F.array(*[F.lit(k / blocks) for k in range(1, blocks)]), 20 * blocks).alias("cuts")).first()["cuts"] if blocks > 1 else None
@@ -171,11 +173,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     @F.pandas_udf("int")
     def block_of(ids: pd.Series) -> pd.Series:
-        none = ids.isna().to_numpy()
-        place = len(bounds) - np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(none, len(bounds) + 1, place).astype(np.int32))
+        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64), side="left")).astype(np.int32))
 
-    placed = slim.withColumn("block", block_of("id"))
+    # Without nulls ids stay whole numbers in the batch; null ids come last.
+    placed = slim.withColumn("block", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(block_of(F.coalesce("id", F.lit(0).cast("long")))))
     first = placed.select("id", "block").groupBy("block").agg(F.max("id").alias("id")).orderBy("block").collect()
     # At most one row for each range: the ids that ranges begin with, and the range before.
     before = {r["id"]: first[k - 1]["block"] for k, r in enumerate(first)}

@@ -56,6 +56,10 @@ def _order(key: Column) -> Column:
     return run(F.coalesce(key, F.lit(0).cast("long")))
 
 
+#: Rows that one array holds when a row is repeated.
+PART = 1 << 16
+
+
 def long_key(df: DataFrame, name: str) -> Column:
     """Integers stand for themselves; other types are hashed to a long."""
     kind = df.schema[name].dataType
@@ -92,12 +96,19 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     inner = Window.partitionBy("shard", "range").orderBy("order", F.col(id_col), "size", "text_crc32")
     ranked = groups.withColumn("first", F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     placed = ranked.join(offsets, ["shard", "range"])
-    slots = F.explode(F.sequence(F.col("before") + F.col("first"), F.col("before") + F.col("first") + F.col("n") - 1))
+    # Rows that repeat are written out in parts, so that no array grows with their number.
+    start, end = F.col("before") + F.col("first"), F.col("before") + F.col("first") + F.col("n") - 1
+    placed = placed.select("*", F.explode(F.sequence(start, end, F.lit(PART).cast("long"))).alias("part"))
+    slots = F.explode(F.sequence(F.col("part"), F.least(F.col("part") + PART - 1, end)))
     out = placed.select(id_col, "size", "text_crc32", F.lit(LAW).alias("law"), "shard", slots.alias("slot"), "grown_shard")
     return out.withColumn(id_col, F.col(id_col).cast(kind))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id") -> None:
-    """Writes all columns of ``docs`` under ``path/shard=k``; ids spread each shard over the writing tasks."""
+    """Writes all columns of ``docs`` under ``path/shard=k``; every writing task adds a file to each shard it has rows of.
+
+    A null id has key 0; empty and null texts are rows like others; rows that repeat are written as often; a
+    column ``shard`` is replaced; an empty table writes no shard.
+    """
     key = long_key(docs, id_col)
     docs.withColumn("shard", shard_of(key, shards)).write.partitionBy("shard").mode("overwrite").parquet(path)
