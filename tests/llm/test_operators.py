@@ -492,6 +492,33 @@ def test_forward_sums_all_segmentations():
         assert alpha[0, len(text)] == pytest.approx([total(0, 0), total(0, 1)])
 
 
+def test_expected_uses_by_all_segmentations():
+    vocab = language.pieces(PIECES)
+    names = {x: i for i, x in enumerate(vocab.names)}
+    rng = np.random.default_rng(3)
+    p = rng.random((vocab.unknown + 1, 1))
+    words_, times = ["the", "zeit", "日本", "a", "there"], np.array([3.0, 1.0, 2.0, 5.0, 1.0])
+
+    def segmentations(text, k):
+        if k == len(text):
+            yield []
+        found = [(j, names[text[k:j]]) for j in range(k + 1, len(text) + 1) if text[k:j] in names]
+        if k < len(text) and not any(j == k + 1 for j, _ in found):
+            found.append((k + 1, vocab.unknown))
+        for j, i in found:
+            for rest in segmentations(text, j):
+                yield [i, *rest]
+
+    want = np.zeros(vocab.unknown + 1)
+    for word, n in zip(words_, times, strict=True):
+        ways = [(x, math.prod(p[i, 0] for i in x)) for x in segmentations(language.MARK + word, 0)]
+        total = sum(weight for _, weight in ways)
+        for x, weight in ways:
+            for i in x:
+                want[i] += n * weight / total
+    assert np.allclose(language.expected(vocab, words_, times, p), want)
+
+
 def test_held_out_languages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = language.identify_languages(docs, PIECES).join(docs, "doc_id").where("held_out").collect()
