@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.search.engine import parse
 from tidemark.search.syntax import Both, Near, Not, Phrase, phrases
 
+#: Words of all queries that are broadcast at most.
+BROADCAST_WORDS = 100_000
 _PARSED = "struct<phrases:array<struct<tokens:array<string>,prefix:boolean,initial:boolean,column:string,placed:boolean>>,program:array<struct<op:string,args:array<int>,distance:int>>>"
 
 
@@ -76,6 +78,7 @@ def match_all(queries: DataFrame, postings: DataFrame) -> DataFrame:
     places fails. A text that is no query, and a null one, match nothing.
     """
     placed = "pos" in postings.columns
+    postings = postings.drop("part")  # the folder of a stored index
     postings = postings.withColumns({c: F.lit(None).cast(t) for c, t in (("col", "string"), ("pos", "int")) if c not in postings.columns})
     parsed = queries.select("query").distinct().withColumn("p", F.udf(compiled, _PARSED)("query")).where("p IS NOT NULL").select("query", "p.*")
     terms = parsed.select("query", F.posexplode("phrases").alias("phrase", "x"))
@@ -85,7 +88,10 @@ def match_all(queries: DataFrame, postings: DataFrame) -> DataFrame:
     sizes = begun.agg(F.collect_set(F.length("begin")).alias("sizes"))
     vocabulary = postings.select("token").distinct().join(F.broadcast(sizes))
     vocabulary = vocabulary.select("token", F.explode(F.filter("sizes", lambda n: n <= F.length("token"))).alias("n")).select("token", F.expr("substring(token, 1, n)").alias("begin"))
-    words = terms.where(~last).unionByName(begun.join(vocabulary, "begin").drop("begin"))
+    words = terms.where(~last).unionByName(begun.join(vocabulary, "begin").drop("begin")).cache()
+    # Few words go to the postings, so that these are not exchanged; many are joined by token.
+    if words.count() <= BROADCAST_WORDS:
+        words = F.broadcast(words)
     rows = words.join(postings, "token").where((F.col("column").isNull() | (F.lower("col") == F.col("column"))) & (~F.col("initial") | (F.col("pos") == F.col("part")) | F.col("pos").isNull()))
     if not placed:
         needs = F.col("placed") | F.col("initial") | (F.col("size") > 1)
