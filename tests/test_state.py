@@ -64,6 +64,21 @@ def test_edges_written_after_a_tombstone_survive(spark):
     assert rows(ST.surviving_edges(edges, dead, "seq"), "van", "naar") == [("d", "a")]
 
 
+def test_interval_join_by_brute_force(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, zero = random.Random(4), datetime(2024, 1, 1)
+    day = lambda: zero + timedelta(seconds=rng.choice([0, 1, 60, 86_400, 10**6, 10**8]) * rng.random())
+    facts = [(k, k % 3, day()) for k in range(200)]
+    spans = [(k, k % 3, day(), None if k % 9 == 0 else day()) for k in range(120)]
+    spans += [(200, 0, facts[0][2], facts[3][2]), (201, 0, facts[0][2], facts[0][2])]
+    want = sorted((f, s) for f, a, at in facts for s, b, begin, end in spans if a == b and begin < at and (end is None or at <= end))
+    left = spark.createDataFrame(facts, "f long, k long, at timestamp")
+    right = spark.createDataFrame(spans, "s long, k long, begin timestamp, stop timestamp")
+    assert rows(R.within_interval(left, right, "k", "at", "begin", "stop"), "f", "s") == want and len(want) > 1000
+
+
 def test_smallest_window_gives_nothing_if_none_is_full(spark):
     df = spark.createDataFrame([("2024-01-01",)], "d string").withColumn("d", F.col("d").cast("date"))
     assert R.smallest_window(df, "d", F.lit("2024-01-02").cast("date"), [3, 6], 2).count() == 0
