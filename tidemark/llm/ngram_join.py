@@ -408,7 +408,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     comp = components(edges).withColumnRenamed("id", "class_id")
     placed = classes.join(comp, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = placed.join(least, "component").select("class_id", "component", "component_id")
+    # Written first, so that the join reads plain exchanges, of which adaptive execution splits a large component.
+    found = placed.join(checkpoint(least), "component").select("class_id", "component", "component_id")
     out = rows.join(found, "class_id", "left")
     own = F.when(F.col(id_col).isNull(), F.lit(None)).otherwise(F.coalesce("component_id", id_col))
     return out.withColumn("component_id", own)
@@ -437,7 +438,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep = keep.groupBy("component").agg(F.min(F.struct("id", "text_hash", "copies")).alias("k")).select("k.*")
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _text_hash(text_col).alias("text_hash"), _has_words(text_col).alias("words"))
     loose = F.col("id").isNull() | ~F.col("words")
-    kept = whole.where(~loose).join(checkpoint(keep), ["id", "text_hash"])
-    once = kept.where("copies = 1").select("row")
-    again = kept.where("copies > 1").groupBy("id", "text_hash").agg(F.any_value("row").alias("row")).select("row")
-    return whole.where(loose).select("row").unionByName(once).unionByName(again).select("row.*")
+    keep = checkpoint(keep)
+    rows = whole.where(~loose).join(keep.where("copies = 1"), ["id", "text_hash"]).select("row").unionByName(whole.where(loose).select("row"))
+    repeated = keep.where("copies > 1")
+    if not repeated.isEmpty():
+        again = whole.where(~loose).join(repeated, ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.any_value("row").alias("row"))
+        rows = rows.unionByName(again.select("row"))
+    return rows.select("row.*")
