@@ -39,8 +39,8 @@ SPACES = regex.compile(f"[{_SPACE}]+")
 #: Separators of str.split that the split pattern does not take as white space.
 ODD = regex.compile("[\\x1c-\\x1f]")
 #: A worker remembers runs without white space up to this length: at least this many of those met last, at most twice as
-#: many and what one slice of a batch holds. 65,536 take some 25 MB.
-MEMO_CHARS, MEMO_WORDS = 40, 1 << 16
+#: many and what one slice of a batch holds. 131,072 take some 50 MB.
+MEMO_CHARS, MEMO_WORDS = 40, 1 << 17
 #: Slots of the transition table, as a power of two; words of up to this many bytes advance together.
 ARC_BITS, TOGETHER = 19, 96
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -372,7 +372,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = sent.value
         sha = hashlib.sha256
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col):
                 rows = c.encode_all([t or "" for t in part.column(1).to_pylist()])
                 out = [
                     part.column(0),
