@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Folder:
+    """Tables written for a job of many turns, in a folder of their own in the checkpoint folder of the session.
+
+    Unlike a checkpoint a written table has the size of its files. The estimates that checkpoints carry multiply from
+    join to join, so that after a dozen turns planning takes longer than the work.
+    """
+
+    def __init__(self, spark: SparkSession):
+        if spark.sparkContext.getCheckpointDir() is None:
+            checkpoint(spark.range(0))
+        self.spark, self.path, self.tables = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

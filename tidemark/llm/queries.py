@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode
+from tidemark.llm.chosen_path import deduplicate
 from tidemark.llm.common import documents
 from tidemark.llm.decontaminate import contained_items
+from tidemark.llm.filter_audit import audit_filters
 from tidemark.llm.fingerprints import fingerprint_documents
 from tidemark.llm.language import identify_languages
 from tidemark.llm.language_model import score_texts
@@ -17,6 +19,7 @@ from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.pii import find_pii
 from tidemark.llm.quality import classify_quality
+from tidemark.llm.resample import resample
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import assign_shards
 
@@ -64,9 +67,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(documents(spark, sf_dir))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = (
     op1_quality, op2_sharding, op3_fingerprints, op4_secrets, op5_ngram_join,
     op6_language_model, op7_language, op8_bpe, op9_pii, op10_decontamination,
+    op11_chosen_path, op12_resampling, op13_filter_audit,
 )
 
 
