@@ -9,8 +9,9 @@ sooner. Every draw depends on the node alone, so a class finds its children with
 * Trees are independent; ``trees`` tells how many of them miss a pair at the threshold with less than the chance
   wanted, if it gets ``LEVELS`` levels deep. All trees advance together, one level a turn.
 * Nodes of at most ``SMALL`` members are compared exhaustively, by two bits of each coordinate. They stay narrow
-  (44 bytes a member), and what differs too much, or is of too different size, makes no pair.
-* In larger nodes every member is compared with the node's hub, and the node is branched, unless its members are in
+  (44 bytes a member), and what differs too much, or is of too different size, makes no pair. From the second level
+  on this holds for nodes up to ``BLOCKED``, in blocks: texts that are nearly similar enough don't part for long.
+* In larger nodes every member is compared with the node's hub, the most central one, and the node is branched, unless its members are in
   one component already. What is still large after ``DEPTH`` levels is compared in blocks, by bits and across
   components only.
 * Pairs are confirmed on full sets made from whole texts: first one pair for each class, then those whose ends these
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from tidemark.llm.shingles import digests, grams, mix, sets, words
 WIDTH, PERCENT = 3, 85
 COORDINATES, LEVELS, DEPTH = 64, 3, 16
 RECALL = 0.99999
-#: Members of a node that is compared exhaustively, and of a block of a node that stays large.
-SMALL, PART = 48, 256
+#: Members of a node that one row holds, of a node that is compared in blocks below the first level, and of a block.
+SMALL, BLOCKED, PART = 48, 1024, 256
 #: Standard deviations of the differing bits that a pair at the threshold may be off.
 SPREAD = 5.5
 SLICE = 1 << 20
@@ -177,7 +179,7 @@ class Join:
         kept = F.first(F.struct("n", "sketch", "b0", "b1", "roots")).alias("k")
         classes = self.rows.where((F.col("n") > 0) & F.col(id_col).isNotNull()).groupBy(F.col("class_id").alias("id")).agg(F.min(id_col).alias("rep"), kept)
         self.classes = checkpoint(classes.select("id", "rep", "k.*"))
-        self.hot = max(SMALL, self.classes.count() * len(roots) // 4096)
+        self.hot = max(BLOCKED, self.classes.count() * len(roots) // 4096)
         self.folder = Folder(docs.sparkSession)
         self.written = self.folder.written
         self.edges: DataFrame | None = None
@@ -191,15 +193,20 @@ class Join:
             pairs = self._small(entries, sizes)
             large = sizes.where(F.col("members") > SMALL)
             opened = None if large.isEmpty() else self._open(self._meet(entries, large.select("node"), large))
+            most = SMALL if not depth else BLOCKED if depth < DEPTH else None
             if opened is not None:
-                pairs = pairs.unionByName(self._with_hubs(*opened) if depth < DEPTH else self._blocks(*opened))
+                if most is None or most > SMALL:
+                    pairs = pairs.unionByName(self._blocks(opened if most is None else opened.where(F.col("members") <= most)))
+                opened = None if most is None else opened.where(F.col("members") > most)
+            if opened is not None and not opened.isEmpty():
+                pairs = pairs.unionByName(self._with_hubs(opened))
             self._link(pairs)
-            opened = self._open(opened[0]) if opened is not None and depth < DEPTH else None
+            opened = None if opened is None else self._open(opened)
             if opened is None:
                 return
             if not depth:  # what may still link, so that later turns read no texts
-                self._keep_sets(opened[0].select("id"))
-            entries = self.written(_children(opened[0].join(self.classes.select("id", "sketch"), "id"), self.percent))
+                self._keep_sets(opened.select("id"))
+            entries = self.written(_children(opened.drop("members").join(self.classes.select("id", "sketch"), "id"), self.percent))
 
     def _meet(self, entries: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
         """Entries with the columns of their nodes; ``sizes``: (node, members), of which the hot ones are 4096 at most."""
@@ -217,33 +224,39 @@ class Join:
         lists = small.groupBy("node").agg(F.collect_list(F.struct("id", "n", "b0", "b1", "component")).alias("m")).select("m")
         return lists.mapInArrow(_compared(self.most, self.percent), "a long, b long")
 
-    def _open(self, members: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """The members of nodes that are in several components, with these, and the nodes (node, members, hub)."""
+    def _open(self, members: DataFrame) -> DataFrame | None:
+        """The members of nodes that are in several components, with their component and the node's number of ``members``."""
         known = members.drop("component")
         if self.components is not None:
             known = known.join(self.components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
             known = known.withColumn("component", F.col("id"))
         known = self.written(known.select("node", "id", "n", "b0", "b1", "component"))
-        hub = F.min(F.struct(F.xxhash64("id", "node").alias("r"), "id", "n", "b0", "b1", "component")).alias("hub")
-        nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), hub)
-        nodes = self.written(nodes.where("low <> high").select("node", "members", "hub"))
+        nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+        nodes = self.written(nodes.where("low <> high").select("node", "members"))
         if nodes.isEmpty():
             return None
-        return self.written(self._meet(known, nodes.select("node"), nodes)), nodes
-
-    def _with_hubs(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
-        hubs = nodes.select("node", *[F.col(f"hub.{c}").alias(f"{c}x") for c in ("id", "n", "b0", "b1", "component")])
+        return self.written(self._meet(known, nodes, nodes))
+
+    def _with_hubs(self, members: DataFrame) -> DataFrame:
+        """Each member with its node's hub: the one whose bits are nearest to the majority's, so what others were made from, if it is there."""
+        both, nodes = ("b0", "b1"), members.select("node", "members").distinct()
+        bits = members.groupBy("node").agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.getbit(F.col(b), F.lit(k))).alias(f"{b}_{k}") for b in both for k in range(64)])
+        more = lambda b: reduce(Column.bitwiseOR, [F.when(F.col(f"{b}_{k}") * 2 > F.col("c"), (1 << k) - (1 << 64) * (k == 63)).otherwise(0).cast("long") for k in range(64)])
+        centres = self.written(bits.select("node", *[more(b).alias(f"{b}c") for b in both]))
+        off = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}c"))) for b in both)
+        nearest = self._meet(members, centres, nodes).groupBy("node").agg(F.min(F.struct(off.alias("off"), F.xxhash64("id").alias("r"), "id", "n", "b0", "b1", "component")).alias("hub"))
+        hubs = self.written(nearest.select("node", *[F.col(f"hub.{c}").alias(f"{c}x") for c in ("id", "n", "b0", "b1", "component")]))
         both = self._meet(_named(members, "y"), hubs, nodes).where(_able(self.percent, self.most, "x", "y"))
         return both.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
 
-    def _blocks(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs of what stayed large: each member meets each block of its node."""
-        parts = nodes.select("node", F.ceil(F.col("members") / PART).cast("int").alias("parts"))
-        placed = self._meet(members, parts, nodes)
+    def _blocks(self, members: DataFrame) -> DataFrame:
+        """Pairs of whole nodes: each member meets each block of its node."""
+        placed = members.withColumn("parts", F.ceil(F.col("members") / PART).cast("int")).drop("members")
         left = _named(placed, "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         right = _named(placed, "y").withColumn("part", F.pmod(F.xxhash64("idy"), "parts").cast("int")).drop("parts")
-        return left.join(right, ["node", "part"]).where(_able(self.percent, self.most, "x", "y")).where("idx < idy").select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+        both = left.join(right, ["node", "part"]).where(_able(self.percent, self.most, "x", "y") & (F.col("idx") < F.col("idy")))
+        return both.select(F.col("idx").alias("a"), F.col("idy").alias("b"))
 
     def _link(self, pairs: DataFrame) -> None:
         """Confirms pairs: of each class the one with the least partner, then what is not connected yet."""

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -124,7 +125,7 @@ def _medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [b for b in batches if b.num_rows]
     if parts:
         table = pa.Table.from_batches(parts)
-        score, without, id_, row = (np.asarray(table.column(k).combine_chunks().fill_null(0)) for k in range(4))
+        score, without, id_, row = (np.asarray(pc.fill_null(c, 0) if c.null_count else c) for c in table.columns)
         at = np.lexsort((row, id_, without, score))[(len(row) - 1) // 2]
         yield pa.RecordBatch.from_arrays([pa.array([x[at]]) for x in (score, without, id_, row)] + [pa.array([len(row)])], names=["score", "without", "id", "row", "n"])
 
