@@ -55,6 +55,13 @@ def test_odd_rows_give_one_row_each(spark, name):
     assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in ODD)
 
 
+def test_numerals_and_symbols_are_no_letters(spark):
+    rows = [chr(n) * 3 for n in range(0x20, 0x3000, 7) if unicodedata.category(chr(n))[0] in "MNPSZ"] + ["½ ²", "Ⅷ", "①", "12"]
+    docs = frame(spark, [(k, t) for k, t in enumerate(rows)] + [(10_000 + k, "the cat sat" if k % 2 else "die katze sitzt") for k in range(20)])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(docs, PIECES).collect()}
+    assert {got[k] for k in range(len(rows))} == {"und"} and got[10_000] != "und"
+
+
 @pytest.mark.parametrize("name", RUNS)
 def test_empty_tables_give_empty_results(spark, name):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -257,11 +264,24 @@ def test_term_statistics_by_hand(spark):
     words_of = lambda t: [w for w in re.split(r"[^a-z]+", t.lower()) if len(w) >= 4]
     uses, stretches, all_ = Counter(), {}, Counter(w for _, t in texts for w in words_of(t))
     for _, t in texts:
-        for m in re.finditer(r"[a-z0-9]+@mail\.com", t):
-            around = t[max(0, m.start() - 80) : m.start()] + " " + t[m.end() : m.end() + 80]
-            for w in words_of(around):
-                uses[m[0], w] += 1
-                stretches.setdefault((m[0], w), set()).add(around)
+        matches = list(re.finditer(r"[a-z0-9]+@mail\.com", t))
+        for w in re.finditer(r"[a-z]{4,}", t.lower()):  # each place of a word has one owner at most
+            if any(m.start() < w.end() and w.start() < m.end() for m in matches):
+                continue
+            last = max((m for m in matches if m.end() <= w.start()), key=lambda m: m.end(), default=None)
+            following = min((m for m in matches if m.start() >= w.end()), key=lambda m: m.start(), default=None)
+            owner = None
+            if last and following and following.start() - last.end() < 160:
+                between = [x.start() for x in re.finditer(r"[a-z]{4,}", t[last.end() : following.start()].lower())]
+                owner = last if between.index(w.start() - last.end()) < math.ceil(len(between) / 2) else following
+            elif last and w.end() <= last.end() + 80:
+                owner = last
+            elif following and w.start() >= following.start() - 80:
+                owner = following
+            if owner:
+                around = t[max(0, owner.start() - 80) : owner.start()] + " " + t[owner.end() : owner.end() + 80]
+                uses[owner[0], w[0]] += 1
+                stretches.setdefault((owner[0], w[0]), set()).add(around)
     want = {}
     for (e, w), seen in stretches.items():
         k, others = min(len(seen), all_[w]), max(all_[w] - uses[e, w], 0)
@@ -274,6 +294,12 @@ def test_term_statistics_by_hand(spark):
     assert got == pytest.approx(want) and pii.least_contexts() == 2 and not {"solo", "told"} & set(got)
 
 
+def test_a_use_between_two_addresses_counts_once(spark):
+    texts = [(k, "alpha a@b.co zebra a@b.co beta") for k in (1, 2)] + [(k, "zebra") for k in (3, 4)]
+    assert pii.revealing_terms(frame(spark, texts)).count() == 0
+    assert [r["spans"] for r in pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()][2:] == ["", ""]
+
+
 def test_many_revealing_terms_take_the_join(spark, monkeypatch):
     monkeypatch.setattr(pii, "LITERAL_TERMS", 0)
     test_revealing_terms_are_found_and_common_ones_are_not(spark)

@@ -10,13 +10,13 @@ word counts and expected counts are made by Spark, and only pieces times languag
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ SAMPLE = 800
 ROUNDS = 2
 MARK = "▁"
 UNKNOWN = 1e-7
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 #: Longer runs of letters are cut here, so that probabilities stay above the smallest double.
 LONGEST = 28
 MEMO_WORDS = 500_000

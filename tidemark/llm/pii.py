@@ -7,8 +7,9 @@ what remains unknown, -log2 P(entity | term) bits. P is estimated from co-occurr
 share of the term's uses that stand within ``REACH`` characters of the entity in its line, and takes the
 lower bound of its confidence interval, so that what was seen once or twice by chance doesn't count. A term
 that leaves at most ``REMAINING`` bits is marked as a span of kind ``term`` wherever it stands. Different
-stretches of text are the observations: copies of one text are one, and there are no more of them than uses. Uses of terms are counted over the
-words of all texts.
+stretches of text are the observations: copies of one text are one, and there are no more of them than uses. A use
+counts once, for the nearest entity: words between two entities that are both in reach go half to either. Uses of
+terms are counted over the words of all texts.
 """
 
 from __future__ import annotations
@@ -89,19 +90,31 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n_term, n_with, stretches, bits) of the terms that reveal some entity; the one with fewest bits left counts."""
     lines = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(HINT)).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(HINT))
 
-    def places(blocks: Column, size: Column) -> Column:
-        def place(s: Column) -> Column:
-            before, after = part(blocks, F.greatest(s["start"] - REACH, F.lit(0)), s["start"]), part(blocks, s["end"], F.least(s["end"] + REACH, size))
-            return F.struct(F.lower(s["match"]).alias("entity"), F.concat_ws(" ", before, after).alias("around"))
-
-        return F.transform(base_spans(F.col("line")), place)
-
-    found = bound(in_blocks(F.col("line")), lambda blocks: bound(F.length("line"), lambda size: places(blocks, size)))
-    found = lines.select(F.explode(found).alias("p")).select("p.entity", "p.around")
-    found = checkpoint(found.groupBy("entity", "around").agg(F.count(F.lit(1)).alias("times")))
+    def side(blocks: Column, start: Column, end: Column, shared: Column, first: bool) -> Column:
+        """Words on one side of a match; of what lies between two matches within reach each gets its half, so a use counts once."""
+        words = _words(part(blocks, F.least(start, end), end))
+        half = F.ceil(F.size(words) / 2).cast("int")
+        mine = F.slice(words, 1, half) if first else F.slice(words, half + 1, F.size(words))
+        return F.when(shared, mine).otherwise(words)
+
+    def places(blocks: Column, size: Column, spans: Column) -> Column:
+        def place(s: Column, i: Column) -> Column:
+            last, following = F.when(i > 0, F.get(spans, i - 1)["end"]), F.get(spans, i + 1)["start"]
+            near = lambda gap: F.coalesce(gap < 2 * REACH, F.lit(False))
+            near_last, near_next = near(s["start"] - last), near(following - s["end"])
+            before = side(blocks, F.when(near_last, last).otherwise(F.greatest(s["start"] - REACH, F.lit(0))), s["start"], near_last, False)
+            after = side(blocks, s["end"], F.when(near_next, F.greatest(following, s["end"])).otherwise(F.least(s["end"] + REACH, size)), near_next, True)
+            stretch = F.concat_ws(" ", part(blocks, F.greatest(s["start"] - REACH, F.lit(0)), s["start"]), part(blocks, s["end"], F.least(s["end"] + REACH, size)))
+            return F.struct(F.lower(s["match"]).alias("entity"), stretch.alias("around"), F.concat(before, after).alias("terms"))
+
+        return F.transform(spans, place)
+
+    found = bound(in_blocks(F.col("line")), lambda blocks: bound(F.length("line"), lambda size: bound(F.sort_array(base_spans(F.col("line"))), lambda spans: places(blocks, size, spans))))
+    found = lines.select(F.explode(found).alias("p")).select("p.*")
+    found = checkpoint(found.groupBy("entity", "around", "terms").agg(F.count(F.lit(1)).alias("times")))
     least = least_contexts()
     often = found.groupBy("entity").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") >= least).select("entity")
-    uses = found.join(often, "entity", "left_semi").select("entity", "times", F.explode(_words(F.col("around"))).alias("term"), "around")
+    uses = found.join(often, "entity", "left_semi").select("entity", "times", F.explode("terms").alias("term"), "around")
     uses = uses.groupBy("entity", "term", "around").agg(F.sum("times").alias("times"))
     pairs = uses.groupBy("entity", "term").agg(F.sum("times").alias("n_with"), F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") >= least)
     pairs = checkpoint(pairs)
@@ -109,9 +122,9 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = "term string, n_term long, n_with long, stretches long, bits double"
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    # Counted on the map side before the join, so that a frequent word is one row of each task.
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term", "left_semi")
+    # Only words that can be terms are counted, where they are read if these are few; a frequent one is one row of each task.
+    words = docs.select(F.explode(_words(F.col(text_col))).alias("term")).join(checkpoint(wanted), "term", "left_semi")
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     judged = pairs.join(counts, "term").withColumn("bits", remaining_bits(F.least("stretches", "n_term"), F.greatest(F.col("n_term") - F.col("n_with"), F.lit(0)))).where(F.col("bits") <= REMAINING)
     best = F.min_by(F.struct("n_term", "n_with", "stretches", "bits"), F.struct("bits", "entity")).alias("best")
     return judged.groupBy("term").agg(best).select("term", "best.*")
