@@ -10,6 +10,7 @@ from tidemark.operators import linking
 from tidemark.operators import relational as R
 from tidemark.plans import query
 from tidemark.search import engine as S
+from tidemark.search.upkeep import read_documents, read_postings, signature, update_index
 from tidemark.sources.tables import table
 from tidemark.streaming.feed import scratch
 
@@ -20,18 +21,19 @@ def _has(phrase: str) -> str:
     return rf"regexp_matches(strip_accents(lower(text)), '(^|[^\p{{L}}\p{{N}}_]){phrase}([^\p{{L}}\p{{N}}_]|$)')"
 
 
-#: Where the index of a data directory lies, by application and directory.
-_STORED: dict[tuple[str, str], str] = {}
+#: Where the index of a data directory lies, and which files it was made from, by application and directory.
+_STORED: dict[tuple[str, str], tuple[str, tuple]] = {}
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the index of the documents; it is built by the first query that asks for it."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STORED:
-        path = scratch(spark)
-        S.write_index(table(spark, sf_dir, "documents"), "doc_id", ["text"], path)
-        _STORED[key] = path
-    return _STORED[key]
+    """The folder of the index of the documents; the first query that asks for it builds it, and one that finds other files brings it up to date."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), signature(spark, f"{sf_dir}/documents.parquet")
+    path, then = _STORED.get(key, (None, None))
+    if then != now:
+        path = path or scratch(spark)
+        update_index(table(spark, sf_dir, "documents"), "doc_id", ["text"], path)
+        _STORED[key] = path, now
+    return path
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +171,22 @@ def link_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link_dossiers(docs, known, "doc_id", "text")
 
 
+_FINAL = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(text, 'the', 'ten') || ' nieuw' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({_TOK}) AS token FROM ({_FINAL})), d AS (SELECT doc_id, count(*) AS tokens FROM t GROUP BY 1)
+SELECT token, count(*) AS places, count(DISTINCT doc_id) AS docs, sum(doc_id)::BIGINT AS ids, sum(tokens)::BIGINT AS tokens FROM t JOIN d USING (doc_id) GROUP BY token""")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of an index after three batches: first part of the documents, then all of them, then some changed and others gone."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark)
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.replace("text", F.lit("the"), F.lit("ten")), F.lit(" nieuw"))).otherwise(F.col("text"))
+    for batch in (docs.where("doc_id % 3 <> 0"), docs, docs.where("doc_id % 7 <> 0").withColumn("text", changed)):
+        update_index(batch, "doc_id", ["text"], path)
+    rows = read_postings(spark, path).join(read_documents(spark, path).select("doc", "tokens"), "doc")
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("places"), F.count_distinct("doc").alias("docs"), F.sum("doc").alias("ids"), F.sum("tokens").alias("tokens"))
+
+
 @query("""
 SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS largest,
   count(*) FILTER (WHERE json_extract_string(props, '$.missing') IS NOT NULL) AS with_missing FROM events GROUP BY event_type""")

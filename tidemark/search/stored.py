@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.search.engine import parse
+from tidemark.search.engine import _folders, parse
 from tidemark.search.syntax import Both, Near, Not, Phrase, phrases
+from tidemark.search.upkeep import PARTS, part_of
 
 #: Words of all queries that are broadcast at most.
 BROADCAST_WORDS = 100_000
@@ -78,20 +79,28 @@ def match_all(queries: DataFrame, postings: DataFrame) -> DataFrame:
     places fails. A text that is no query, and a null one, match nothing.
     """
     placed = "pos" in postings.columns
-    postings = postings.drop("part")  # the folder of a stored index
+    stored = "part" in postings.columns  # folders of a stored index: those of the words and prefixes are read
     postings = postings.withColumns({c: F.lit(None).cast(t) for c, t in (("col", "string"), ("pos", "int")) if c not in postings.columns})
     parsed = queries.select("query").distinct().withColumn("p", F.udf(compiled, _PARSED)("query")).where("p IS NOT NULL").select("query", "p.*")
     terms = parsed.select("query", F.posexplode("phrases").alias("phrase", "x"))
     terms = terms.select("query", "phrase", "x.prefix", "x.initial", "x.column", "x.placed", F.size("x.tokens").alias("size"), F.posexplode("x.tokens").alias("part", "token"))
     last = F.col("prefix") & (F.col("part") == F.col("size") - 1)
     begun = terms.where(last).withColumnRenamed("token", "begin")
+    vocabulary = postings
+    if stored:
+        begins = [r["begin"] for r in begun.select(F.substring("begin", 1, 2).alias("begin")).distinct().limit(PARTS + 1).collect()]
+        if len(begins) <= PARTS and all(len(b) > 1 for b in begins):
+            vocabulary = postings.where(_folders(begins)) if begins else postings.limit(0)
     sizes = begun.agg(F.collect_set(F.length("begin")).alias("sizes"))
-    vocabulary = postings.select("token").distinct().join(F.broadcast(sizes))
+    vocabulary = vocabulary.select("token").distinct().join(F.broadcast(sizes))
     vocabulary = vocabulary.select("token", F.explode(F.filter("sizes", lambda n: n <= F.length("token"))).alias("n")).select("token", F.expr("substring(token, 1, n)").alias("begin"))
     words = terms.where(~last).unionByName(begun.join(vocabulary, "begin").drop("begin")).cache()
     # Few words go to the postings, so that these are not exchanged; many are joined by token.
-    if words.count() <= BROADCAST_WORDS:
-        words = F.broadcast(words)
+    many = words.count() > BROADCAST_WORDS
+    if stored:
+        folders = [r["part"] for r in words.select(part_of(F.col("token")).alias("part")).distinct().collect()]  # PARTS at most
+        postings = postings.where(F.col("part").isin(folders)).drop("part")
+    words = words if many else F.broadcast(words)
     rows = words.join(postings, "token").where((F.col("column").isNull() | (F.lower("col") == F.col("column"))) & (~F.col("initial") | (F.col("pos") == F.col("part")) | F.col("pos").isNull()))
     if not placed:
         needs = F.col("placed") | F.col("initial") | (F.col("size") > 1)
