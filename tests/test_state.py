@@ -3,6 +3,7 @@
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import monitors as M
@@ -90,12 +91,20 @@ def test_names_need_a_unique_match(spark):
     assert {(r["surname"], r["person"]) for r in resolve_names(who, people).collect()} == {("Berg van den", 1), ("Smit", None), ("X", None)}
 
 
+def test_motions_are_numbered_and_linked_where_they_exist(spark):
+    known = spark.createDataFrame([(36100, "", 5, 11), (36100, "VI", 6, 12), (36100, "", 7, 14), (36100, "", 7, 13)], "nummer long, toevoeging string, volgnummer int, document long")
+    docs = spark.createDataFrame([(1, "nr. 5 (36100) en 9 (36100) en 6 (36100-VI) en 7 (36100)."), (2, "niets"), (3, None)], "id long, body string")
+    link = lambda n, ref: f'<a href="document.html?nummer={n}">{ref}</a>'
+    want = [(1, f"nr. {link(11, '5 (36100)')} (#1) en 9 (36100) en {link(12, '6 (36100-VI)')} (#3) en {link(13, '7 (36100)')} (#4)."), (2, "niets"), (3, None)]
+    assert sorted(tuple(r) for r in link_dossiers(docs, known, "id", "body").collect()) == want
+
+
 def test_dossier_references_become_links_where_they_exist(spark):
     docs = spark.createDataFrame([(1, "zie 36 100, nr. 3 en 36100-VI-7, niet kst-36100-3; 12 (36100-VI) en 13 (36100-VI)")], "id long, text string")
     known = spark.createDataFrame([(36100, "", 3, "2024D00001")], "nummer long, toevoeging string, volgnummer int, document string")
     out = link_dossiers(docs, known, "id", "text").first()["linked"]
     assert '<a href="document.html?nummer=2024D00001">36 100, nr. 3</a>' in out and "36100-VI-7" in out and "kst-36100-3" in out
-    assert "12 (36100-VI) #1" in out and "13 (36100-VI) #2" in out
+    assert out.endswith("12 (36100-VI) en 13 (36100-VI)")  # known to nobody, so no links
 
 
 ENTRY = """<entry xmlns="http://www.w3.org/2005/Atom"><title>{id}</title><updated>2024-01-01T00:00:00Z</updated><category term="Document"/>
@@ -219,6 +228,55 @@ def test_hits_are_sent_once_and_grouped_by_monitors(spark):
     assert rows(M.grouped(M.unsent(hits, sent)), "userid", "monitors", "hits") == [(7, "1,2", 1), (8, "3", 1)]
 
 
+def _monitors(spark):
+    out = monitor(spark, soort="ksd", nummer="36100", toevoeging="VI", cutoff="2024-01-01").unionByName(monitor(spark, id=2, soort="OODocumentVerantwoordelijke", verantwoordelijke="RIVM", cutoff="2024-01-01"))
+    return out.withColumns({"last_run": F.lit(None).cast("long"), "interval": F.when(F.col("id") == 2, 100).cast("long")})
+
+
+@pytest.mark.parametrize("step", ["log", "outbox", "monitors"])
+def test_a_run_that_failed_anywhere_is_made_again_and_sends_once(spark, tmp_path, monkeypatch, step):
+    from pyspark.sql import DataFrameWriter
+
+    folder, all_ = str(tmp_path / "m"), data(spark)
+    seen = lambda day: all_ | {"document": all_["document"].where(F.col("datum") <= day)}
+    first = M.run(spark, folder, 0, _monitors(spark), seen("2024-01-10"), "2024-01-10", 1000)
+    assert rows(first, "userid", "monitors", "hits") == [(7, "1", 1), (7, "1,2", 1)]
+    write = DataFrameWriter.parquet
+
+    def failing(self, path, *a, **b):
+        if f"/{step}/run=1" in path:
+            raise OSError("lost")
+        return write(self, path, *a, **b)
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(DataFrameWriter, "parquet", failing)
+        M.run(spark, folder, 1, _monitors(spark), seen("2024-01-12"), "2024-01-12", 1200)
+    again = [rows(M.run(spark, folder, 1, _monitors(spark), seen("2024-01-12"), "2024-01-12", 1200), "userid", "monitors", "hits", "message") for _ in range(2)]
+    assert again[0] == again[1] and [r[:3] for r in again[0]] == [(7, "2", 1)]
+    assert M.run(spark, folder, 2, _monitors(spark), seen("2024-01-12"), "2024-01-12", 1250).count() == 0
+    left = rows(spark.read.parquet(f"{folder}/monitors/run=2"), "id", "cutoff", "last_run")
+    assert left == [(1, "2024-01-12", 1250), (2, "2024-01-12", 1200)]  # the second waits for its interval
+    assert rows(spark.read.parquet(f"{folder}/log"), "run", "identifier") == [(0, "d1"), (0, "d3"), (0, "d3"), (1, "d2")]
+
+
+def test_monitors_as_a_stream(spark, tmp_path):
+    source, folder = tmp_path / "in", str(tmp_path / "m")
+    days = ["2024-01-10", "2024-01-12", "2024-01-13"]
+    for k, new in enumerate(([("d1", days[0], "VI")], [("d2", days[1], ""), ("d4", days[1], "VI")], [("d4", days[2], "VI")])):
+        spark.createDataFrame([(d, t, "36100", s, "RIVM") for d, t, s in new], "doc string, datum string, dossier string, suffix string, publisher string").coalesce(1).write.mode("append").parquet(str(source))
+        M.run_stream(read_feed(spark, str(source)), folder, _monitors(spark), lambda batch: data(spark) | {"document": batch}, lambda n: (days[n], 1000 * (n + 1)), str(tmp_path / "state")).awaitTermination()
+        assert (tmp_path / "m" / "outbox" / f"run={k}" / "_SUCCESS").exists()
+    assert rows(spark.read.parquet(f"{folder}/log"), "run", "monitor", "identifier") == [(0, 1, "d1"), (0, 2, "d1"), (1, 1, "d4"), (1, 2, "d2"), (1, 2, "d4")]
+
+
+def test_streamed_upserts_take_empty_batches(spark, tmp_path):
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    for part in ([], [("a", 1, False)], [], [("a", 2, True), ("b", 3, False)]):
+        spark.createDataFrame(part, "id string, seq long, gone boolean").coalesce(1).write.mode("append").parquet(str(source))
+        upsert_stream(read_feed(spark, str(source)), table, str(tmp_path / "state"), "id", "seq", "gone").awaitTermination()
+    assert rows(current(spark, table), "id") == [("b",)]
+
+
 def test_streamed_upserts_survive_a_second_run(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "table")
     schema = "id string, seq long, gone boolean"
@@ -266,13 +324,13 @@ def test_feed_stream_counts_every_entry_of_files_in_any_order(spark, tmp_path):
 def test_link_dossiers_looks_up_references_in_the_whole_text(spark, tmp_path):
     from tidemark.plans import QUERIES
 
-    tail = "woord " * 60 + "zie 36 105, nr. 3 en 36105-3, niet 36999 3, kst-36105-3 of 36105-VI-3; 7 (36100-VI) en 8 (36100-VI) "
+    tail = "woord " * 60 + "zie 36 105, nr. 3 en 36105-3, niet 36999 3, kst-36105-3 of 36105-VI-3; 7 (36100-VI) en 3 (36105) "
     texts = [(1, tail * 3), (3, "36103-3 " * 40 + tail), (10, "36 110 3"), (11, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k,) for k in range(100, 120)] + [(1105,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
 
     def brute(k, t):
-        t = f"zie 36 {k % 900 + 100}, nr. {k % 7} " + t
+        t = f"zie 36 {k % 900 + 100}, nr. {k % 7} en nr. {k % 5} (36{k % 900 + 50:03}) of 3 (36999-VI) " + t
 
         def dossier(m):
             nummer = int(re.sub(r"\s", "", m[1]))
@@ -281,10 +339,16 @@ def test_link_dossiers_looks_up_references_in_the_whole_text(spark, tmp_path):
 
         n = iter(range(1, 100))
         linked = re.sub(r"([1234][0-9]{4}|[1234][0-9]\s[0-9]{3})([ -][0-9A-Z]{1,5})?[,nr.\s-]{1,6}([1-9][0-9]{0,3})", dossier, t)
-        return re.sub(r"([1-9]\d{0,3})\s\(([1234]\d{4})(-[0-9A-Z]+)?\)", lambda m: f"{m[0]} #{next(n)}", linked)
+
+        def motion(m):
+            number, nummer = next(n), int(m[2])
+            known = m[1] == "3" and not m[3] and 36100 <= nummer < 36120
+            return f'<a href="document.html?nummer={nummer - 36000}">{m[0]}</a> (#{number})' if known else m[0]
+
+        return re.sub(r"([1-9]\d{0,3})\s\(([1234]\d{4})(-[0-9A-Z]+)?\)", motion, linked)
 
     want = [(k, brute(k, t)) for k, t in texts]
-    assert want[0][1].count("<a ") == 6 and rows(QUERIES["link_dossiers"](spark, str(tmp_path)), "doc_id", "linked") == want
+    assert want[0][1].count("<a ") == 9 and rows(QUERIES["link_dossiers"](spark, str(tmp_path)), "doc_id", "linked") == want
 
 
 def test_zoek_monitors_search_as_the_search_does(spark):

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.functions import text as X
 from tidemark.operators import monitors as M
@@ -357,3 +358,66 @@ def scalar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "odd": X.odd_duration(seconds),
     }
     return table(spark, sf_dir, "orders").select("o_orderkey", *[v.alias(k) for k, v in c.items()])
+
+
+def _sortable(rows: DataFrame, c: str) -> Column:
+    """A column as text of the same order: whole numbers (none below zero) get their digits in line, other text stays."""
+    value = F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.lpad(value, 20, "0") if isinstance(rows.schema[c].dataType, IntegralType) else value
+
+
+def with_children(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str], Column]]) -> DataFrame:
+    """``parents`` with a list for each kind of child.
+
+    ``children``: by name, rows with the parent's key, the columns that order them, and what the list shows. All kinds
+    become one tagged table of the same three columns, which one aggregation turns into a filtered list for each kind;
+    so lists don't multiply each other, however many there are, and the parents are joined once. Parents without
+    children have empty lists. Nulls in what is ordered come first.
+    """
+    tagged = _union([
+        rows.select(F.col(key), F.lit(name).alias("__kind"), F.struct(F.array(*[_sortable(rows, c) for c in order]).alias("at"), shown.cast("string").alias("shown")).alias("__child"))
+        for name, (rows, order, shown) in children.items()
+    ])
+    lists = tagged.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("__kind") == name, F.col("__child")))).alias(name) for name in children])
+    text = lambda name: F.transform(F.coalesce(F.col(name), F.array().cast(lists.schema[name].dataType)), lambda x: x["shown"])
+    return parents.join(lists, key, "left").select(*parents.columns, *[text(name).alias(name) for name in children])
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc, o_orderkey::VARCHAR AS nummer, strftime(o_orderdate, '%Y-%m-%d') AS datum, o_orderpriority AS soort, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderkey - o_orderkey % 8 END AS bron FROM orders),
+l AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS zaak FROM lineitem),
+e AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M') AS datum FROM events),
+actors AS (SELECT l_orderkey AS doc, string_agg(l_returnflag || ' ' || coalesce(s_name, ''), '; ' ORDER BY l_returnflag, coalesce(s_name, '')) AS x FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+annexes AS (SELECT bron AS doc, string_agg(nummer, '; ' ORDER BY nummer::INT) AS x FROM o WHERE bron IS NOT NULL GROUP BY 1),
+cases AS (SELECT doc, string_agg(zaak || ' ' || coalesce(p_name, ''), '; ' ORDER BY zaak) AS x, count(*) AS n, min(zaak) AS one FROM l LEFT JOIN part ON p_partkey = zaak GROUP BY 1),
+votes AS (SELECT l_orderkey AS doc, string_agg(line, '; ' ORDER BY l_partkey) AS x FROM (SELECT l_orderkey, l_partkey, l_partkey || ' voor ' || count(*) FILTER (WHERE l_linestatus = 'F') || ' tegen ' || count(*) FILTER (WHERE l_linestatus = 'O') AS line FROM lineitem GROUP BY 1, 2) GROUP BY 1),
+acts AS (SELECT doc, string_agg(datum || ' ' || event_type, '; ' ORDER BY datum, event_id) AS x FROM (SELECT DISTINCT doc, event_id, event_type, datum FROM (SELECT doc, event_id, event_type, datum FROM l JOIN e ON event_id = zaak UNION ALL SELECT event_id, event_id, event_type, datum FROM e)) GROUP BY 1),
+answers AS (SELECT q.doc, string_agg(a.doc::VARCHAR, '; ' ORDER BY a.doc) AS x FROM (SELECT DISTINCT q.doc, a.doc AS other FROM l q JOIN o ON o.doc = q.doc AND soort = '1-URGENT' JOIN l a ON a.zaak = q.zaak) q JOIN o a ON a.doc = other AND a.soort = '2-HIGH' GROUP BY 1)
+SELECT o.doc, nummer, datum, soort, coalesce(actors.x, '') AS actors, coalesce(annexes.x, '') AS annexes, coalesce(cases.x, '') AS cases, coalesce(votes.x, '') AS votes, coalesce(acts.x, '') AS activities, coalesce(answers.x, '') AS answers,
+  CASE WHEN soort = '1-URGENT' AND cases.n = 1 AND answers.x IS NULL THEN one::VARCHAR ELSE '' END AS open_case
+FROM o LEFT JOIN actors USING (doc) LEFT JOIN annexes USING (doc) LEFT JOIN cases USING (doc) LEFT JOIN votes USING (doc) LEFT JOIN acts USING (doc) LEFT JOIN answers USING (doc)""")
+def document_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's page: actors by role, annexes, cases, votes, activities (of its cases and its own) by date, answers; and its case if it is a question with one case and no answer."""
+    t = lambda name: table(spark, sf_dir, name)
+    text = lambda c: F.col(c).cast("string")
+    orders = t("orders").select(F.col("o_orderkey").alias("doc"), text("o_orderkey").alias("nummer"), day("o_orderdate").alias("datum"), F.col("o_orderpriority").alias("soort"))
+    items = t("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("zaak"), "l_suppkey", "l_returnflag", "l_linestatus")
+    of_case = items.groupBy("doc", "zaak").agg(F.count_if(F.col("l_linestatus") == "F").alias("ayes"), F.count_if(F.col("l_linestatus") == "O").alias("noes"))
+    actors = items.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left").withColumn("s_name", F.coalesce("s_name", F.lit("")))
+    annexes = orders.where("doc % 8 <> 0").select((F.col("doc") - F.col("doc") % 8).alias("doc"), F.col("doc").alias("annex"))
+    cases = of_case.join(t("part").select(F.col("p_partkey").alias("zaak"), "p_name"), "zaak", "left")
+    events = t("events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"))
+    of_cases = of_case.select("doc", F.col("zaak").alias("event_id")).unionByName(events.select(F.col("event_id").alias("doc"), "event_id")).distinct()
+    questions = of_case.join(orders.where("soort = '1-URGENT'").select("doc"), "doc").select("doc", "zaak")
+    answers = of_case.join(orders.where("soort = '2-HIGH'").select("doc"), "doc").select(F.col("doc").alias("answer"), "zaak")
+    pages = with_children(orders, "doc", {
+        "actors": (actors, ["l_returnflag", "s_name"], F.concat_ws(" ", "l_returnflag", "s_name")),
+        "annexes": (annexes, ["annex"], F.col("annex")),
+        "cases": (cases, ["zaak"], F.concat_ws(" ", text("zaak"), F.coalesce("p_name", F.lit("")))),
+        "votes": (of_case, ["zaak"], F.concat_ws(" ", text("zaak"), F.lit("voor"), text("ayes"), F.lit("tegen"), text("noes"))),
+        "activities": (of_cases.join(events, "event_id"), ["at", "event_id"], F.concat_ws(" ", "at", "event_type")),
+        "answers": (questions.join(answers, "zaak").select("doc", "answer").distinct(), ["answer"], F.col("answer")),
+    })
+    alone = (F.col("soort") == "1-URGENT") & (F.size("cases") == 1) & (F.size("answers") == 0)
+    pages = pages.withColumn("open_case", F.when(alone, F.split_part(F.get("cases", F.lit(0)), F.lit(" "), F.lit(1))).otherwise(""))
+    return pages.select("doc", "nummer", "datum", "soort", *[F.array_join(c, "; ").alias(c) for c in ("actors", "annexes", "cases", "votes", "activities", "answers")], "open_case")

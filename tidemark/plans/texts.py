@@ -154,17 +154,21 @@ _MOTION = linking.MOTION
 
 
 @query(rf"""
-WITH t AS (SELECT doc_id, 'zie 36 ' || lpad((doc_id % 900 + 100)::VARCHAR, 3, '0') || ', nr. ' || doc_id % 7 || ' ' || text AS body FROM documents),
+WITH t AS (SELECT doc_id, 'zie 36 ' || lpad((doc_id % 900 + 100)::VARCHAR, 3, '0') || ', nr. ' || doc_id % 7 || ' en nr. ' || doc_id % 5 || ' (36' || lpad((doc_id % 900 + 50)::VARCHAR, 3, '0') || ') of 3 (36999-VI) ' || text AS body FROM documents),
 x AS (SELECT doc_id, unnest(list_zip(string_split_regex(body, '{_PART}'), regexp_extract_all(body, '{_PART}', 0), range(len(string_split_regex(body, '{_PART}'))))) AS z FROM t),
 y AS (SELECT doc_id, z[1] AS gap, z[2] AS ref, z[3] AS i, try_cast(regexp_replace(regexp_extract(z[2], '{_PART}', 1), '\s', '', 'g') AS BIGINT) AS nummer, regexp_extract(z[2], '{_PART}', 2) AS suffix, try_cast(regexp_extract(z[2], '{_PART}', 3) AS INT) AS volg FROM x),
 k AS (SELECT 36000 + p_partkey % 1000 AS nummer, min(p_partkey) AS document FROM part GROUP BY 1),
 r AS (SELECT doc_id, string_agg(gap || CASE WHEN ref IS NULL THEN '' WHEN document IS NULL OR ends_with(gap, 'kst-') THEN ref ELSE '<a href="document.html?nummer=' || document || '">' || ref || '</a>' END, '' ORDER BY i) AS body
   FROM y LEFT JOIN k ON k.nummer = y.nummer AND suffix = '' AND volg = 3 GROUP BY doc_id),
-m AS (SELECT doc_id, unnest(list_zip(string_split_regex(body, '{_MOTION}'), regexp_extract_all(body, '{_MOTION}', 0), range(len(string_split_regex(body, '{_MOTION}'))))) AS z FROM r)
-SELECT doc_id, string_agg(z[1] || CASE WHEN z[2] IS NULL THEN '' ELSE z[2] || ' #' || (z[3] + 1) END, '' ORDER BY z[3]) AS linked FROM m GROUP BY doc_id""")
+m AS (SELECT doc_id, unnest(list_zip(string_split_regex(body, '{_MOTION}'), regexp_extract_all(body, '{_MOTION}', 0), range(len(string_split_regex(body, '{_MOTION}'))))) AS z FROM r),
+n AS (SELECT doc_id, z[1] AS gap, z[2] AS ref, z[3] AS i, try_cast(regexp_extract(z[2], '{_MOTION}', 1) AS INT) AS volg, try_cast(regexp_extract(z[2], '{_MOTION}', 2) AS BIGINT) AS nummer, regexp_extract(z[2], '{_MOTION}', 3) AS suffix FROM m)
+SELECT doc_id, string_agg(gap || CASE WHEN ref IS NULL THEN '' WHEN document IS NULL THEN ref ELSE '<a href="document.html?nummer=' || document || '">' || ref || '</a> (#' || (i + 1) || ')' END, '' ORDER BY i) AS linked
+FROM n LEFT JOIN k ON k.nummer = n.nummer AND suffix = '' AND volg = 3 GROUP BY doc_id""")
 def link_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts, behind a made-up mention, in which references to dossier parts become links where the part exists, and motions get running numbers."""
-    mention = F.concat(F.lit("zie 36 "), F.lpad((F.col("doc_id") % 900 + 100).cast("string"), 3, "0"), F.lit(", nr. "), (F.col("doc_id") % 7).cast("string"), F.lit(" "))
+    """Whole texts, behind made-up mentions, in which references to dossier parts and motions become links where the part exists; motions are numbered."""
+    text = lambda c: c.cast("string")
+    code = lambda plus: F.lpad(text(F.col("doc_id") % 900 + plus), 3, "0")
+    mention = F.concat(F.lit("zie 36 "), code(100), F.lit(", nr. "), text(F.col("doc_id") % 7), F.lit(" en nr. "), text(F.col("doc_id") % 5), F.lit(" (36"), code(50), F.lit(") of 3 (36999-VI) "))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(mention, "text").alias("text"))
     known = table(spark, sf_dir, "part").groupBy((F.lit(36000) + F.col("p_partkey") % 1000).alias("nummer")).agg(F.min("p_partkey").alias("document"))
     known = known.select("nummer", F.lit("").alias("toevoeging"), F.lit(3).alias("volgnummer"), "document")

@@ -69,12 +69,17 @@ def _newest(table: DataFrame, before: int | None = None) -> DataFrame:
     return table.where(here)
 
 
-def _stored(spark: SparkSession, table_path: str) -> DataFrame:
+def _stored(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """What the versions hold; None before the first one that has rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not any(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/version=*/bucket=*"))):
+        return None
     return spark.read.option("basePath", table_path).parquet(table_path)
 
 
 def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, key: str, seq: str, deleted: str):
-    """Keeps a table of the last write of each key, with its tombstones, in buckets of keys.
+    """Keeps a table of the last write of each key, with its tombstones, in buckets of keys. Batches may be empty, the first one too.
 
     A batch reads and writes only the buckets it has changes for, as folders ``version=<batch>/bucket=<b>``; a
     batch that is run again after a failure writes the same folders again. ``current`` shows the newest version
@@ -85,10 +90,12 @@ def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, key: str,
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
         batch = batch.withColumn("bucket", bucket)
-        state = None
-        if number:
-            touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # BUCKETS at most
-            state = _newest(_stored(spark, table_path).where(F.col("bucket").isin(touched)), number).drop("version")
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
+        state = _stored(spark, table_path)
+        if state is not None:
+            state = _newest(state.where(F.col("bucket").isin(touched)), number).drop("version")
         merged = merge_changes(state, batch, key, seq, F.expr(deleted))
         merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/version={number}")
 
@@ -96,7 +103,7 @@ def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, key: str,
 
 
 def current(spark: SparkSession, table_path: str) -> DataFrame:
-    """The visible rows of a table kept by ``upsert_stream``."""
+    """The visible rows of a table kept by ``upsert_stream``, once a batch has had rows."""
     return visible(_newest(_stored(spark, table_path)).drop("version", "bucket"))
 
 
