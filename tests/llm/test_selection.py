@@ -98,7 +98,7 @@ def test_what_stays_large_is_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     base = [f"w{k}" for k in range(150)]
     rows = list(enumerate(" ".join(edited(rng, base, share)) for share in (0.02, 0.05, 0.04, 0.08) for _ in range(40)))
-    for name, value in (("SMALL", 4), ("DEPTH", 1), ("PART", 8)):
+    for name, value in (("SMALL", 4), ("DEPTH", 1), ("PART", 8), ("COLUMNS", 64), ("BLOCKED", 20)):
         monkeypatch.setattr(chosen_path, name, value)
     assert result(chosen_path.deduplicate(frame(spark, [(i, t, "en") for i, t in rows]))) == components_by_hand(rows)
 

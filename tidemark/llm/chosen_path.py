@@ -10,10 +10,10 @@ sooner. Every draw depends on the node alone, so a class finds its children with
   wanted, if it gets ``LEVELS`` levels deep. All trees advance together, one level a turn.
 * Nodes of at most ``SMALL`` members are compared exhaustively, by two bits of each coordinate. They stay narrow
   (44 bytes a member), and what differs too much, or is of too different size, makes no pair. From the second level
-  on this holds for nodes up to ``BLOCKED``, in blocks: texts that are nearly similar enough don't part for long.
+  on this holds for nodes up to ``BLOCKED``, in blocks and on full sets: texts that are nearly similar enough don't
+  part for long, and are too many to leave a task as pairs.
 * In larger nodes every member is compared with the node's hub, the most central one, and the node is branched, unless its members are in
-  one component already. What is still large after ``DEPTH`` levels is compared in blocks, by bits and across
-  components only.
+  one component already. What is still large after ``DEPTH`` levels is compared in blocks too.
 * Pairs are confirmed on full sets made from whole texts: first one pair for each class, then those whose ends these
   have not connected.
 
@@ -40,7 +40,9 @@ WIDTH, PERCENT = 3, 85
 COORDINATES, LEVELS, DEPTH = 64, 3, 16
 RECALL = 0.99999
 #: Members of a node that one row holds, of a node that is compared in blocks below the first level, and of a block.
-SMALL, BLOCKED, PART = 48, 1024, 256
+SMALL, BLOCKED, PART = 48, 4096, 512
+#: Shingles in one matrix of a block.
+COLUMNS = 4096
 #: Standard deviations of the differing bits that a pair at the threshold may be off.
 SPREAD = 5.5
 SLICE = 1 << 20
@@ -152,6 +154,14 @@ def _children(members: DataFrame, percent: int) -> DataFrame:
     return members.withColumn("c", F.explode(drawn)).withColumn("node", F.xxhash64("node", "c", value)).drop("c", "sketch")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough; the smaller one is looked up in the larger."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return (100 + percent) * both >= percent * (len(x) + len(y))
+
+
 def _confirmed(percent: int):
     """(a, b) of rows (a, b, sa, sb) whose sorted, packed sets are similar enough."""
 
@@ -159,16 +169,60 @@ def _confirmed(percent: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # sets may be large, so few at a time
                 part = batch.slice(k, 256)
-                keep = []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    keep.append((100 + percent) * both >= percent * (len(x) + len(y)))
+                keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(part.column(2), part.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _overlaps(packed: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Members that the sets ``left`` share with the sets ``right``: products of 0/1 matrices over the shingles that several sets have, some columns at a time."""
+    value, column, times = np.unique(np.concatenate(packed), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(packed)), [len(x) for x in packed])
+    several = times > 1
+    some = several[column]
+    row, column = row[some], (np.cumsum(several) - 1)[column[some]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        held = np.zeros((len(packed), COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - first] = 1
+        both += held[left] @ held[right].T
+    return both
+
+
+def _linked_in_block(percent: int):
+    """(a, b) of the members of one block, or across two, whose sets are similar enough: as many as connect what so links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, ids, comp = (np.asarray(table.column(c)) for c in ("part", "id", "component"))
+        packed = [np.frombuffer(x, np.uint64) for x in table.column("packed").to_pylist()]
+        low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        a, b = [], []
+        if len(left) and len(right):
+            n = np.array([len(x) for x in packed])
+            both = _overlaps(packed, left, right).astype(np.int64)
+            alike = ((100 + percent) * both >= percent * (n[left][:, None] + n[right])) & (comp[left][:, None] != comp[right])
+            up = {c: c for c in comp.tolist()}
+
+            def root(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for i, k in zip(*np.nonzero(alike), strict=True):
+                x, y = root(int(comp[left[i]])), root(int(comp[right[k]]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    a.append(int(ids[left[i]])), b.append(int(ids[right[k]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 class Join:
     """The state of a join: classes (id, rep, n, sketch, b0, b1, roots), links found, components."""
 
@@ -179,7 +233,7 @@ class Join:
         kept = F.first(F.struct("n", "sketch", "b0", "b1", "roots")).alias("k")
         classes = self.rows.where((F.col("n") > 0) & F.col(id_col).isNotNull()).groupBy(F.col("class_id").alias("id")).agg(F.min(id_col).alias("rep"), kept)
         self.classes = checkpoint(classes.select("id", "rep", "k.*"))
-        self.hot = max(BLOCKED, self.classes.count() * len(roots) // 4096)
+        self.hot = max(SMALL, self.classes.count() * len(roots) // 4096)
         self.folder = Folder(docs.sparkSession)
         self.written = self.folder.written
         self.edges: DataFrame | None = None
@@ -196,7 +250,7 @@ class Join:
             most = SMALL if not depth else BLOCKED if depth < DEPTH else None
             if opened is not None:
                 if most is None or most > SMALL:
-                    pairs = pairs.unionByName(self._blocks(opened if most is None else opened.where(F.col("members") <= most)))
+                    self._add(self._in_blocks(opened if most is None else opened.where(F.col("members") <= most)))
                 opened = None if most is None else opened.where(F.col("members") > most)
             if opened is not None and not opened.isEmpty():
                 pairs = pairs.unionByName(self._with_hubs(opened))
@@ -250,13 +304,13 @@ class Join:
         both = self._meet(_named(members, "y"), hubs, nodes).where(_able(self.percent, self.most, "x", "y"))
         return both.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
 
-    def _blocks(self, members: DataFrame) -> DataFrame:
-        """Pairs of whole nodes: each member meets each block of its node."""
-        placed = members.withColumn("parts", F.ceil(F.col("members") / PART).cast("int")).drop("members")
-        left = _named(placed, "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        right = _named(placed, "y").withColumn("part", F.pmod(F.xxhash64("idy"), "parts").cast("int")).drop("parts")
-        both = left.join(right, ["node", "part"]).where(_able(self.percent, self.most, "x", "y") & (F.col("idx") < F.col("idy")))
-        return both.select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    def _in_blocks(self, members: DataFrame) -> DataFrame:
+        """(a, b) that link in whole nodes: each block of a node meets each other, with its sets, so no pair that doesn't link leaves a task."""
+        parts = F.ceil(F.col("members") / PART).cast("int")
+        placed = members.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts).cast("int")}).join(self.sets, "id")
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = placed.select("node", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "packed")
+        return both.groupBy("node", "low", "high").applyInArrow(_linked_in_block(self.percent), "a long, b long").distinct()
 
     def _link(self, pairs: DataFrame) -> None:
         """Confirms pairs: of each class the one with the least partner, then what is not connected yet."""
