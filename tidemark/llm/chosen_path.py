@@ -233,6 +233,7 @@ class Join:
         kept = F.first(F.struct("n", "sketch", "b0", "b1", "roots")).alias("k")
         classes = self.rows.where((F.col("n") > 0) & F.col(id_col).isNotNull()).groupBy(F.col("class_id").alias("id")).agg(F.min(id_col).alias("rep"), kept)
         self.classes = checkpoint(classes.select("id", "rep", "k.*"))
+        self.repeated = not self.rows.groupBy(id_col).count().where("count > 1").isEmpty()
         self.hot = max(SMALL, self.classes.count() * len(roots) // 4096)
         self.folder = Folder(docs.sparkSession)
         self.written = self.folder.written
@@ -254,12 +255,14 @@ class Join:
                 opened = None if most is None else opened.where(F.col("members") > most)
             if opened is not None and not opened.isEmpty():
                 pairs = pairs.unionByName(self._with_hubs(opened))
+            if not depth:  # of all that may link here and below, so that texts are read and exchanged once
+                pairs = self.written(pairs.distinct())
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+                self._keep_sets(ends if opened is None else ends.unionByName(opened.select("id")))
             self._link(pairs)
             opened = None if opened is None else self._open(opened)
             if opened is None:
                 return
-            if not depth:  # what may still link, so that later turns read no texts
-                self._keep_sets(opened.select("id"))
             entries = self.written(_children(opened.drop("members").join(self.classes.select("id", "sketch"), "id"), self.percent))
 
     def _meet(self, entries: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -348,7 +351,8 @@ class Join:
                     packed = [value[x:y].tobytes() for x, y in zip(start[:-1], start[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["id", "packed"]).filter(pa.array(own))
 
-        made = self.written(texts.mapInArrow(run, "id long, packed binary").dropDuplicates(["id"]))
+        made = texts.mapInArrow(run, "id long, packed binary")
+        made = self.written(made.dropDuplicates(["id"]) if self.repeated else made)
         self.sets = made if self.sets is None else self.sets.unionByName(made)
 
     def _similar(self, pairs: DataFrame) -> DataFrame:
