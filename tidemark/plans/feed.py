@@ -123,3 +123,35 @@ def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.streaming.feed import all_counts, run_once
 
     return run_once(spark, sf_dir, all_counts)
+
+
+@query("""
+WITH e AS (SELECT user_id AS thing, floor(epoch(ts))::BIGINT AS second, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+w AS (SELECT thing, second, sum(n) OVER (PARTITION BY thing ORDER BY second RANGE BETWEEN 432000 PRECEDING AND CURRENT ROW)::BIGINT AS reports FROM e)
+SELECT * FROM w WHERE reports >= 2""")
+def throttle_stream(spark: SparkSession, sf_dir: str, seconds: int = 5 * 86400, limit: int = 2) -> DataFrame:
+    """When things failed too often, by a stream that keeps reports for a week. All files make one batch here, so none is late."""
+    from tidemark.streaming import lifetime
+    from tidemark.streaming.feed import read_feed, scratch
+
+    folder = scratch(spark)
+    errors = read_feed(spark, f"{sf_dir}/events.parquet", 1_000_000).where("event_type = 'error'")
+    lifetime.throttle_stream(errors, "user_id", "ts", folder, seconds, limit).awaitTermination()
+    return lifetime.throttle_table(spark, folder)
+
+
+@query("""
+WITH f AS (SELECT user_id AS id, min_by(event_type, event_id) AS kind, min_by(props, event_id) AS reason, count(*) AS failures FROM events WHERE event_type IN ('error', 'view') GROUP BY 1),
+a AS (SELECT user_id AS id, arg_max(value > 10, event_id) AS success FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT f.id, kind, reason, failures, CASE WHEN success IS NULL THEN 'unattempted' WHEN success THEN 'fixed' ELSE 'failed' END AS state FROM f LEFT JOIN a ON f.id = a.id""")
+def retry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every failed conversion by a stream whose state has a lifetime; equals ``retry_state``."""
+    from tidemark.streaming import lifetime
+    from tidemark.streaming.feed import read_feed, scratch
+
+    folder = scratch(spark)
+    events = read_feed(spark, f"{sf_dir}/events.parquet", 1_000_000)
+    tried = F.when(F.col("event_type") == "purchase", F.coalesce(F.col("value") > 10, F.lit(False)))
+    rows = events.where(F.col("event_type").isin("error", "view", "purchase")).select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.col("event_type").alias("kind"), F.col("props").alias("reason"), tried.alias("success"))
+    lifetime.retry_stream(rows, folder).awaitTermination()
+    return lifetime.retry_table(spark, folder)
