@@ -126,6 +126,15 @@ def test_feed_source_and_entities(spark, tmp_path):
     table = feed.entity_table(parsed, "Document", {"nummer": "string", "volgnummer": "bigint", "kamerstukdossierId": "string", "titel": "string"})
     assert rows(table, "id", "nummer", "volgnummer", "kamerstukdossierId", "titel", "verwijderd") == [("1", "2024D1", 7, "k1", "", False), ("2", "2024D2", 7, "k1", "", True)]
     assert rows(feed.edges(parsed), "van", "naar", "linkSoort") == [("1", "z1", "Zaak"), ("1", "z2", "Zaak"), ("2", "z1", "Zaak"), ("2", "z2", "Zaak")]
+    raw = raw.unionByName(spark.createDataFrame([("Document", "3", 13, "", "u", "<entry"), ("Zaak", "4", 14, "", "u", "<entry><content><zaak id='4'><activiteit ref='a1'/><soort>x</soort></zaak></content></entry>"), ("Document", "5", 15, "", "u", None)], feed.RAW)).cache()
+    parsed = feed.parse_entries(raw).cache()
+    for entity, columns in (("Document", {"nummer": "string", "volgnummer": "bigint", "kamerstukdossierId": "string", "titel": "string"}), ("Zaak", {"soort": "string", "activiteitId": "string", "nummer": "double"})):
+        typed = feed.typed_table(raw, entity, columns)
+        assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, feed.entity_table(parsed, entity, columns).collect())) and typed.count() > 0
+        plan = typed._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert "Python" not in plan and "InPandas" not in plan
+    assert sorted(map(tuple, feed.typed_edges(raw).collect())) == sorted(map(tuple, feed.edges(parsed).collect()))
+    assert rows(feed.bad_entries(raw), "id") == [("3",), ("5",)]
     assert ("Document", "nummer", 2, 2, 100.0) in rows(feed.field_use(parsed), "entity", "field", "filled", "entries", "percent")
 
 
@@ -170,6 +179,10 @@ def test_transcripts(spark):
     docs = spark.createDataFrame([("m1", xml), ("m2", "no xml <")], "meeting string, xml string")
     spoken = enclosures.turns(docs)
     assert rows(spoken, "speaker", "text", "chair") == [("p1", "Dank u wel", False), ("p1", "Dank u wel", True)]
+    assert "Python" not in spoken._jdf.queryExecution().executedPlan().toString() and rows(enclosures.bad_transcripts(docs), "meeting", "length") == [("m2", 8)]
+    nested = "<x:v xmlns:x='u'><x:woordvoerder a='1'><x:spreker objectid='p2'/><x:tekst>een &lt;b&gt; <x:i>twee</x:i></x:tekst><x:interrumpant><x:tekst>nee\u00a0 nee</x:tekst></x:interrumpant></x:woordvoerder></x:v>"
+    inside = enclosures.turns(spark.createDataFrame([("m3", nested), ("m4", None), ("m5", ""), ("m6", "<v/>")], docs.schema))
+    assert rows(inside, "kind", "speaker", "text", "begin") == [("interrumpant", "", "nee nee", ""), ("woordvoerder", "p2", "een <b> twee", "")]
     assert rows(enclosures.speaking_time(spoken), "meeting", "speaker_seconds", "chair_seconds") == [("m1", 120, 120)]
     assert enclosures.count_elements(docs.where("meeting = 'm1'"), "xml").first()["aantal"] == 2
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_kind, duration_seconds, strip_tags
+from tidemark.sources.feed import XML, is_xml
 
 
 def files(spark: SparkSession, path: str, overlay: str | None = None) -> DataFrame:
@@ -53,32 +50,30 @@ def count_elements(docs: DataFrame, xml_col: str, name: str = "vraag") -> DataFr
     return docs.withColumn("aantal", F.size(F.xpath(xml_col, F.lit(f"//{name}"))))
 
 
-TURN = "meeting string, kind string, speaker string, given string, surname string, party string, begin string, end string, chair boolean, text string"
+TURN = "spreker struct<_objectid: string, voornaam: string, achternaam: string, fractie: string>, markeertijdbegin string, markeertijdeind string, isvoorzitter string, _corrupt_record string"
+KINDS = ("woordvoerder", "interrumpant")
 
 
 def turns(transcripts: DataFrame) -> DataFrame:
-    """A row for each turn of the transcripts (meeting, xml): who spoke, from when to when, and what."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for meeting, xml in zip(batch["meeting"], batch["xml"], strict=True):
-                try:
-                    root = ET.fromstring(xml)
-                except (ET.ParseError, TypeError):
-                    continue
-                for node in root.iter():
-                    kind = node.tag.rpartition("}")[2]
-                    if kind not in ("woordvoerder", "interrumpant"):
-                        continue
-                    part = {c.tag.rpartition("}")[2]: c for c in node}
-                    who = part.get("spreker")
-                    of = {c.tag.rpartition("}")[2]: (c.text or "").strip() for c in who} if who is not None else {}
-                    say = lambda name, part=part: " ".join("".join(part[name].itertext()).split()) if name in part else ""
-                    rows.append((meeting, kind, who.get("objectid", "") if who is not None else "", of.get("voornaam", ""), of.get("achternaam", ""), of.get("fractie", ""), say("markeertijdbegin"), say("markeertijdeind"), say("isvoorzitter") == "true", say("tekst")))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TURN.split(", ")])
-
-    return transcripts.select("meeting", "xml").mapInPandas(run, TURN)
+    """A row for each turn of the transcripts (meeting, xml): who spoke, from when to when, and what; all in the JVM.
+
+    An interruption within a speech is a turn too, and its words are not the speaker's. A transcript that is no XML has
+    no turns: ``bad_transcripts`` has it.
+    """
+    plain = transcripts.where(is_xml(F.col("xml"))).select("meeting", F.regexp_replace("xml", r"(</?)[\w.-]+:", "$1").alias("xml"))
+    parts = lambda kind: F.regexp_extract_all("xml", F.lit(rf"(?s)<{kind}(?:\s[^>]*[^/>])?>.*?</{kind}\s*>"), F.lit(0))
+    tagged = lambda kind: F.transform(parts(kind), lambda part: F.struct(F.lit(kind).alias("kind"), part.alias("part")))
+    rows = plain.select("meeting", F.explode(F.concat(*[tagged(kind) for kind in KINDS])).alias("t")).select("meeting", "t.kind", "t.part")
+    rows = rows.withColumn("s", F.from_xml("part", F.lit(TURN), XML))
+    of = lambda name: F.trim(F.coalesce(F.col(f"s.{name}"), F.lit("")))
+    who = {"speaker": "spreker._objectid", "given": "spreker.voornaam", "surname": "spreker.achternaam", "party": "spreker.fractie", "begin": "markeertijdbegin", "end": "markeertijdeind"}
+    said = F.trim(F.regexp_replace(F.xpath_string("part", F.lit("/*/tekst")), r"(?U)\s+", " "))
+    return rows.select("meeting", "kind", *[of(c).alias(n) for n, c in who.items()], (of("isvoorzitter") == "true").alias("chair"), said.alias("text"))
+
+
+def bad_transcripts(transcripts: DataFrame) -> DataFrame:
+    """(meeting, length) of the transcripts that are no XML; the length of null is 0."""
+    return transcripts.where(~is_xml(F.col("xml"))).select("meeting", F.coalesce(F.length("xml"), F.lit(0)).alias("length"))
 
 
 def speaking_time(spoken: DataFrame) -> DataFrame:

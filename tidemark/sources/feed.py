@@ -10,9 +10,10 @@ from __future__ import annotations
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -198,6 +199,58 @@ def edges(parsed: DataFrame) -> DataFrame:
     return rows.where(wanted).select(F.col("id").alias("van"), F.col("r.ref").alias("naar"), F.col("entity").alias("category"), F.concat(F.upper(F.substring("r.name", 1, 1)), F.expr("substring(r.name, 2)")).alias("linkSoort"), "skiptoken")
 
 
+XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+
+def _typed(raw: DataFrame, entity: str, fields: list[str], refs: list[str]) -> DataFrame:
+    """The entries of one entity by ``from_xml``: the entry's columns and its entity as the struct ``e``."""
+    node = entity[:1].lower() + entity[1:]
+    names = ["_id", "_bijgewerkt", "_verwijderd", *dict.fromkeys(fields)]
+    inner = ", ".join([*(f"`{n}`: string" for n in names), *(f"`{n}`: array<struct<_ref: string>>" for n in dict.fromkeys(refs))])
+    schema = f"content struct<`{node}`: struct<{inner}>>, _corrupt_record string"
+    parsed = raw.select("id", "skiptoken", "updated", F.from_xml("xml", F.lit(schema), XML)["content"][node].alias("e")).where("e IS NOT NULL")
+    return parsed.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), "e._id", F.lit("")))
+
+
+def typed_table(raw: DataFrame, entity: str, columns: dict[str, str]) -> DataFrame:
+    """``entity_table`` from raw entries, parsed in the JVM by the entity's own schema; only the fields asked for are kept.
+
+    The entity's element has its name with a small first letter, and fields hold text only. Entries of other entities
+    give no row, nor does what is no XML: ``bad_entries`` has that. Nulls and empty texts are bad entries.
+    """
+    refs = [n[:-2] for n in columns if n.endswith("Id")]
+    rows = _typed(raw, entity, list(columns), refs)
+    out = []
+    for name, kind in columns.items():
+        value = F.col("e")[name]
+        if name.endswith("Id"):
+            value = F.coalesce(value, F.get(F.col("e")[name[:-2]], F.lit(0))["_ref"])
+        value = F.coalesce(value, F.lit(""))
+        out.append({"bigint": leading_int, "double": leading_double}.get(kind, lambda c: c)(value).alias(name))
+    return rows.select("id", "skiptoken", F.coalesce("e._bijgewerkt", F.lit("")).alias("bijgewerkt"), "updated", F.coalesce(F.col("e._verwijderd") == "true", F.lit(False)).alias("verwijderd"), *out)
+
+
+def typed_edges(raw: DataFrame) -> DataFrame:
+    """``edges`` from raw entries, parsed in the JVM."""
+    parts = []
+    for entity, names in LINKS.items():
+        tagged = lambda name: F.transform(F.coalesce(F.col("e")[name], F.array()), lambda r: F.struct(r["_ref"].alias("ref"), F.lit(name[:1].upper() + name[1:]).alias("kind")))
+        each = F.explode(F.concat(*[tagged(n) for n in names]))
+        rows = _typed(raw, entity, [], list(names)).select("id", "skiptoken", each.alias("r")).where("r.ref <> ''")
+        parts.append(rows.select(F.col("id").alias("van"), F.col("r.ref").alias("naar"), F.lit(entity).alias("category"), F.col("r.kind").alias("linkSoort"), "skiptoken"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def is_xml(c: Column) -> Column:
+    """Whether a text is one well-formed XML document; false for null and what is empty."""
+    return F.coalesce(F.from_xml(c, F.lit("_none string, _corrupt_record string"), XML)["_corrupt_record"].isNull() & (F.trim(c) != ""), F.lit(False))
+
+
+def bad_entries(raw: DataFrame) -> DataFrame:
+    """(id, skiptoken, xml) of the entries that are no XML."""
+    return raw.where(~is_xml(F.col("xml"))).select("id", "skiptoken", "xml")
+
+
 def field_use(parsed: DataFrame) -> DataFrame:
     """(entity, field, filled, entries, percent): which fields each entity has, and how often they hold something."""
     total = parsed.groupBy("entity").agg(F.count(F.lit(1)).alias("entries"))
