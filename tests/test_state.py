@@ -1,7 +1,9 @@
 """State tables, monitors, sources and streams on small fixtures."""
 
+import http.server
 import json
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ def test_tables_are_swapped_appended_and_pruned(spark, tmp_path):
     for n in (3, 5):
         ST.materialise(spark.range(n), "swapped_test")
         assert spark.table("swapped_test").count() == n
-    spark.sql("DROP TABLE swapped_test")
+    spark.sql("DROP VIEW swapped_test")
     for d in ("2024-01-01", "2024-01-20"):
         ST.append(spark.createDataFrame([(1, d)], "id long, day string"), str(tmp_path / "t"), "day")
     kept = spark.read.parquet(str(tmp_path / "t")).withColumn("day", F.col("day").cast("string"))
@@ -138,6 +140,87 @@ def test_feed_source_and_entities(spark, tmp_path):
     assert ("Document", "nummer", 2, 2, 100.0) in rows(feed.field_use(parsed), "entity", "field", "filled", "entries", "percent")
 
 
+class FeedServer:
+    """Pages of three entries after a token, and the newest token, over HTTP; remembers what was asked."""
+
+    def __init__(self):
+        self.newest, self.asked = {}, []
+        outer = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):  # noqa: N802
+                outer.asked.append(self.path)
+                kind, _, token = self.path.partition("?")[0][1:].partition("/")
+                newest = outer.newest[kind]
+                if token == "end":
+                    body = f"skiptoken={newest}"
+                else:
+                    following = range(int(token) + 1, newest + 1)[:3]
+                    entries = "".join(ENTRY.format(id=k, token=k, gone="false") for k in following)
+                    body = '<feed xmlns="http://www.w3.org/2005/Atom">' + re.sub(r"http://x/feed[?]skiptoken=(\d+)", rf"http://127.0.0.1:{outer.port}/{kind}/\1?skiptoken=\1", entries) + "</feed>"
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(body.encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.port = self.server.server_address[1]
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def options(self, **more):
+        base = f"http://127.0.0.1:{self.port}/{{category}}"
+        return {"url": f"{base}/{{token}}", "end": f"{base}/end", "categories": "Document,Zaak,Leeg", "token": "0", "step": "4"} | more
+
+
+def test_feed_stream_reads_ranges_of_tokens_in_tasks(spark, tmp_path):
+    site = FeedServer()
+    site.newest = {"Document": 10, "Zaak": 3, "Leeg": 0}
+    reader = feed.FeedSource(site.options()).streamReader(None)
+    end = reader.latestOffset()
+    assert end == {"Document": 10, "Zaak": 3, "Leeg": 0} and all(p.endswith("/end") for p in site.asked)
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert [(p.category, p.low, p.high) for p in parts] == [("Document", 0, 4), ("Document", 4, 8), ("Document", 8, 10), ("Zaak", 0, 3)]
+    assert [[r[2] for r in reader.read(p)] for p in parts] == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10], [1, 2, 3]] and reader.partitions(end, end) == []
+    spark.dataSource.register(feed.FeedSource)
+    tokens = lambda df: sorted(r[0] for r in df.select("skiptoken").collect())
+    got = spark.read.format("change_feed").options(**site.options()).load()
+    assert got.rdd.getNumPartitions() == 4 and tokens(got) == sorted([*range(1, 11), 1, 2, 3])
+    for newest in (10, 10, 13):  # the second run has nothing new
+        site.newest["Document"] = newest
+        stream = spark.readStream.format("change_feed").options(**site.options()).load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        query.awaitTermination()
+        assert tokens(spark.read.parquet(str(tmp_path / "o"))) == sorted([*range(1, newest + 1), 1, 2, 3])
+    with pytest.raises(ValueError, match="end"):
+        feed.FeedSource({"url": "x", "categories": "a"}).streamReader(None)
+
+
+def test_a_reader_never_misses_a_table_that_is_refreshed(spark):
+    counts, failed, stop = [], [], threading.Event()
+    ST.materialise(spark.range(100), "refreshed_test")
+
+    def read():
+        while not stop.is_set():
+            try:
+                counts.append(spark.table("refreshed_test").count())
+            except Exception as error:  # noqa: BLE001
+                failed.append(error)
+
+    thread = threading.Thread(target=read)
+    thread.start()
+    for n in (200, 300, 400, 500):
+        ST.materialise(spark.range(n), "refreshed_test", keep=3)
+    with pytest.raises(Exception, match="(?i)divi"):
+        ST.materialise(spark.range(3).selectExpr("raise_error('division')"), "refreshed_test")
+    stop.set()
+    thread.join()
+    assert failed == [] and set(counts) <= {100, 200, 300, 400, 500} and counts == sorted(counts)
+    assert spark.table("refreshed_test").count() == 500
+    spark.sql("DROP VIEW refreshed_test")
+
+
 def test_feed_page_keeps_the_token_of_the_entry_before():
     page = '<feed xmlns="http://www.w3.org/2005/Atom">' + ENTRY.format(id="1", token=11, gone="false") + ENTRY.format(id="2", token=0, gone="false").replace("?skiptoken=0", "") + "</feed>"
     found, following = feed.read_page(page.encode())

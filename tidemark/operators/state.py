@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,23 @@ def apply_changes(state: DataFrame | None, changes: DataFrame, key: str, seq: st
     return visible(merge_changes(state, changes, key, seq, deleted))
 
 
-def materialise(df: DataFrame, name: str) -> None:
-    """Writes a query's result as a table and then puts it in the place of the older one."""
+def materialise(df: DataFrame, name: str, keep: int = 2) -> None:
+    """Writes a query's result as a new version and then lets the view ``name`` show it, by one statement.
+
+    A reader finds the older result or the new one and never nothing; one that has begun goes on with the version it
+    found, as the newest ``keep`` stay. If writing fails, the view is as it was. Versions are folders below the
+    warehouse, which a cluster shares.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").saveAsTable(f"{name}__new")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {name}__new RENAME TO {name}")
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}__versions"
+    version = f"v{time.time_ns():020d}"
+    df.write.parquet(f"{root}/{version}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{root}/{version}`")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    older = sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName() < version)
+    for name_of in older[: max(len(older) + 1 - keep, 0)]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name_of), True)
 
 
 def append(df: DataFrame, path: str, day: str) -> None:

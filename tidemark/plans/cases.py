@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import relational as R
-from tidemark.plans import query
+from tidemark.operators.state import materialise
+from tidemark.plans import ORACLES, query
 from tidemark.sources.tables import table
 
 
@@ -42,6 +45,14 @@ def open_cases(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
     return counts.where("n_questions > 0 AND n_answers = 0")
 
 
+@query(ORACLES["open_cases"])
+def open_cases_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open cases as a table that is kept: a new version is written and shown in place of the older one, then read."""
+    name = f"open_cases_{zlib.crc32(sf_dir.encode()):08x}"
+    materialise(open_cases(spark, sf_dir), name)
+    return spark.table(name)
+
+
 @query("""
 WITH j AS (
   SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus, coalesce(s_name, '') AS lead_actor,

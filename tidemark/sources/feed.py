@@ -7,6 +7,7 @@ maps first; a table is a choice of fields with types, and what is missing is ''.
 
 from __future__ import annotations
 
+import re
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidemark.functions.text import leading_double, leading_int
 
@@ -81,9 +82,20 @@ def _pages(address: str | None, most: int) -> Iterator[tuple]:
         yield from rows
 
 
+def _last_number(text: bytes) -> int | None:
+    digits = re.findall(rb"\d+", text)
+    return int(digits[-1]) if digits else None
+
+
 class FeedSource(DataSource):
-    """``spark.read.format("change_feed")`` or ``readStream``: option ``url`` with ``{category}`` and ``{token}``, option
-    ``categories`` (comma-separated), ``token`` to begin after, ``pages`` for the most pages a category and batch."""
+    """``spark.read.format("change_feed")`` or ``readStream``.
+
+    Options: ``url`` with ``{category}`` and ``{token}`` (a page with what comes after the token), ``categories``
+    (comma-separated), ``token`` to begin after (-1), ``pages`` for the most pages that a partition reads; ``end`` with
+    ``{category}``, whose answer's last number is the newest token of a category, and ``step``, the tokens a partition has
+    at most (100000). With ``end`` a category is read in ranges of tokens, each by a task of its own. A stream needs it:
+    the driver asks for the newest tokens only, and no page passes through it.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -95,52 +107,73 @@ class FeedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _FeedReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _FeedStream(self.options)
 
 
-class _Category(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+class _Range(InputPartition):
+    """What a category has after the token ``low``, up to ``high`` if there is one."""
 
+    def __init__(self, category: str, low: int, high: int | None = None):
+        self.category, self.low, self.high = category, low, high
 
-class _FeedReader(DataSourceReader):
-    """A partition for each category."""
+
+class _Feed:
+    """What both readers share; it holds the options and nothing else, so it is sent to tasks."""
 
     def __init__(self, options: dict):
-        self.options = options
+        self.options = dict(options)
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Category(c.strip()) for c in self.options["categories"].split(",")]
+    def begin(self) -> dict:
+        return {c.strip(): int(self.options.get("token", -1)) for c in self.options["categories"].split(",") if c.strip()}
+
+    def end(self) -> dict:
+        """The newest token of each category; one that has none stays where it begins."""
+        out = {}
+        for category, low in self.begin().items():
+            newest = _last_number(_fetch(self.options["end"].format(category=category)))
+            out[category] = low if newest is None else max(low, newest)
+        return out
 
-    def read(self, partition: _Category) -> Iterator[tuple]:
-        address = self.options["url"].format(category=partition.name, token=self.options.get("token", "-1"))
-        return _pages(address, int(self.options.get("pages", 1_000_000)))
+    def ranges(self, start: dict, end: dict) -> list[InputPartition]:
+        step = int(self.options.get("step", 100_000))
+        bounds = [(c, start.get(c, int(self.options.get("token", -1))), high) for c, high in end.items()]
+        return [_Range(c, at, min(at + step, high)) for c, low, high in bounds for at in range(low, high, step)]
 
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        address = self.options["url"].format(category=partition.category, token=partition.low)
+        for row in _pages(address, int(self.options.get("pages", 1_000_000))):
+            if partition.high is not None and row[2] > partition.high:
+                return
+            if partition.high is None or row[2] > partition.low:
+                yield row
 
-class _FeedStream(SimpleDataSourceStreamReader):
-    """Offsets hold the last token of each category."""
+
+class _FeedReader(_Feed, DataSourceReader):
+    """A partition for each category, or for each range of its tokens if the end is known."""
+
+    def partitions(self) -> list[InputPartition]:
+        if "end" in self.options:
+            return self.ranges(self.begin(), self.end())
+        return [_Range(category, low) for category, low in self.begin().items()]
+
+
+class _FeedStream(_Feed, DataSourceStreamReader):
+    """Offsets hold the last token of each category, and a batch the ranges between two of them."""
 
     def __init__(self, options: dict):
-        self.options = options
+        super().__init__(options)
+        if "end" not in self.options:
+            raise ValueError("a stream of the change feed needs the option 'end'")
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {c.strip(): int(self.options.get("token", -1)) for c in self.options["categories"].split(",")}
-
-    def _rows(self, start: dict) -> tuple[list[tuple], dict]:
-        out, end = [], dict(start)
-        for category, token in start.items():
-            rows = [r for r in _pages(self.options["url"].format(category=category, token=token), int(self.options.get("pages", 10))) if r[2] > token]
-            out += rows
-            end[category] = max([token, *(r[2] for r in rows)])
-        return out, end
-
-    def read(self, start: dict):
-        rows, end = self._rows(start)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        return iter([r for r in self._rows(start)[0] if r[2] <= end.get(r[0], r[2])])
+        return self.begin()
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return self.end()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.ranges(start, end)
 
 
 def parse_entries(raw: DataFrame) -> DataFrame:
