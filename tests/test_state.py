@@ -247,6 +247,31 @@ def test_a_list_is_read_until_too_much_of_another_day(spark):
     assert rows(out, "day", "page", "place") == [(a, 0, k) for k in range(4)] + [(a, 1, k) for k in range(5)] + [(b, 0, 0)]
 
 
+def test_lists_are_read_by_day_until_the_rule_stops_them(spark, tmp_path):
+    a, b, c = "2024-02-28", "2024-02-29", "2024-03-01"
+
+    def save(day, page, *days):
+        (tmp_path / f"{day}-{page}.json").write_text(json.dumps({"resultaten": [{"document": {"id": f"{day}.{page}.{k}_1", "openbaarmakingsdatum": d}, "bestandsType": "pdf"} for k, d in enumerate(days)]}))
+
+    for page, days in enumerate([(a, a, b), (a, b, b, b, b, a), (a,)]):  # the third page is beyond the rule
+        save(a, page, *days)
+    for page, days in enumerate([(b,), (), (b,)]):
+        save(b, page, *days)
+    save(c, 0, c, c)
+    spark.dataSource.register(publications.ListSource)
+    load = lambda **more: spark.read.format("publication_list").options(url=f"file://{tmp_path}/{{day}}-{{page}}.json", first=a, last="2024-03-02", **more).load()
+    assert rows(load(), "day", "page") == [(a, 0), (a, 1), (b, 0), (b, 1), (c, 0)] and load().rdd.getNumPartitions() == 4
+    assert rows(publications.of_day(load()), "day", "page", "place") == [(a, 0, 0), (a, 0, 1), (a, 0, 2), (a, 1, 0), (a, 1, 1), (a, 1, 2), (a, 1, 3), (b, 0, 0), (c, 0, 0), (c, 0, 1)]
+    assert rows(load(allowed=0), "day", "page") == [(a, 0), (b, 0), (b, 1), (c, 0)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        (tmp_path / f"{c}-0.json").write_text("no json")  # a day that isn't asked for isn't fetched
+        for condition, days in ((f"day = '{b}'", [b]), (f"day < '{c}' AND day >= '{b}'", [b]), (f"day IN ('{a}', '{b}') AND page = 0", [a, b]), ("day > '2024-03-01'", [])):
+            assert sorted({r["day"] for r in load(prune="true").where(condition).collect()}) == days
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_reports_and_bad_entries(spark, tmp_path):
     from tidemark.plans.pages import write_report
 

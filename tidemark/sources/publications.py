@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
+from collections.abc import Iterable, Iterator
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 LIST = "resultaten array<struct<document:struct<id:string,pid:string,titel:string,omschrijving:string,openbaarmakingsdatum:string,publisher:string,aanbieder:string,mutatiedatumtijd:string>,bestandsType:string>>"
 _LABELS = "array<struct<label:string>>"
@@ -27,6 +34,84 @@ def entries(pages: DataFrame, column: str = "json") -> DataFrame:
     return rows.select(_bare(F.col("r.document.id")).alias("id"), *[d(n) for n in ("titel", "omschrijving", "openbaarmakingsdatum", "mutatiedatumtijd", "publisher", "aanbieder")], F.col("r.bestandsType").alias("bestandsType"))
 
 
+class ListSource(DataSource):
+    """``spark.read.format("publication_list")``: the pages (day, page, json) of each day's list.
+
+    Options: ``url`` with ``{day}`` and ``{page}`` (pages count from 0; saved pages are ``file://`` addresses), ``first`` and
+    ``last`` day, ``allowed`` results of other days in a page (3). Each day is a partition and its pages are fetched in
+    the task until ``of_day`` needs no more: an empty page, one with too much of other days, or none at the address. A
+    page that is no JSON fails the task, for it may be fetched anew. With the option ``prune`` filters on ``day``
+    decide which days are fetched; that needs the setting ``spark.sql.python.filterPushdown.enabled``. Without it they
+    are applied to what was fetched.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "publication_list"
+
+    def schema(self) -> str:
+        return "day string, page int, json string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return (_PrunedReader if self.options.get("prune", "false") == "true" else _ListReader)(dict(self.options))
+
+
+class _Day(InputPartition):
+    def __init__(self, day: str):
+        self.day = day
+
+
+#: What a filter on the day asks of one.
+_ASKS = {
+    EqualTo: lambda day, value: day == value,
+    In: lambda day, value: day in value,
+    GreaterThan: lambda day, value: day > value,
+    GreaterThanOrEqual: lambda day, value: day >= value,
+    LessThan: lambda day, value: day < value,
+    LessThanOrEqual: lambda day, value: day <= value,
+}
+
+
+class _ListReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+        first, last = date.fromisoformat(options["first"]), date.fromisoformat(options["last"])
+        self.days = [(first + timedelta(days=k)).isoformat() for k in range((last - first).days + 1)]
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Day(d) for d in self.days]
+
+    def read(self, partition: _Day) -> Iterator[tuple]:
+        page, other, results = 0, 0, [None]
+        while results and other <= int(self.options.get("allowed", 3)):
+            try:
+                with urllib.request.urlopen(self.options["url"].format(day=partition.day, page=page), timeout=60) as answer:  # noqa: S310
+                    text = answer.read().decode()
+            except urllib.error.HTTPError as error:
+                if error.code == 404:
+                    return
+                raise
+            except urllib.error.URLError as error:
+                if isinstance(error.reason, FileNotFoundError) or "No such file" in str(error.reason):
+                    return
+                raise
+            results = json.loads(text).get("resultaten") or []
+            other = sum((r.get("document") or {}).get("openbaarmakingsdatum") != partition.day for r in results)
+            yield partition.day, page, text
+            page += 1
+
+
+class _PrunedReader(_ListReader):
+    """Takes filters on the day; Spark refuses one that does while its setting is off."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            if type(f) in _ASKS and f.attribute == ("day",):
+                self.days = [d for d in self.days if _ASKS[type(f)](d, f.value)]
+            else:
+                yield f
+
+
 def of_day(pages: DataFrame, column: str = "json", allowed: int = 3) -> DataFrame:
     """The results that a day's list is read for: (day, page, place, result struct ``r``).
 
