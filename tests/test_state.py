@@ -82,6 +82,46 @@ def test_interval_join_by_brute_force(spark):
     assert rows(R.within_interval(left, right, "k", "at", "begin", "stop"), "f", "s") == want and len(want) > 1000
 
 
+def test_nearest_by_brute_force(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, zero = random.Random(7), datetime(2024, 1, 1)
+    size = lambda: rng.choice([0.0, -1.0, None, 1.0, 10.0, 100.0, 10 ** (3 * rng.random()), 1000 * rng.random()])
+    at = lambda: zero + timedelta(seconds=rng.choice([0, 60, 86_400, 10**6, -(10**6)]) * round(rng.random(), 2))
+    left = [(k, rng.choice([1, 1, 1, 2, 3, None]), at() if k % 11 else None, size()) for k in range(400)]
+    right = [(k, rng.choice([1, 1, 1, 2, 4, None]), at() if k % 13 else None, size()) for k in range(400)]
+    want = []
+    for i, k, t, v in left:
+        fit = [(abs(t - u) // timedelta(microseconds=1), j) for j, m, u, w in right if k is not None and k == m and t and u and v is not None and w is not None and v * 0.1 < w < v * 10]
+        want += [(i, min(fit)[1], min(fit)[0])] if fit else []
+    one = spark.createDataFrame(left + left[:20], "i long, k long, t timestamp, v double")
+    two = spark.createDataFrame(right, "j long, k long, u timestamp, w double")
+    assert rows(R.nearest(one, two, "k", "t", "u", "v", "w", "j"), "i", "j", "gap") == want and len(want) > 70
+    assert R.nearest(one, two.where("false"), "k", "t", "u", "v", "w", "j").count() == R.nearest(one.where("false"), two, "k", "t", "u", "v", "w", "j").count() == 0
+
+
+def test_two_hops_in_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.choice([0, 0, 0, rng.randrange(20)])) for _ in range(300)] + [(None, 0), (5, None)]
+    known = {e for e in edges if None not in e}
+    want = sorted({(a, b) for a, m in known for b, n in known if m == n and a != b})
+    df = spark.createDataFrame(edges, "s long, m long")
+    for block in (1, 7, 1000):
+        assert rows(R.two_hops(df, "s", "m", block=block), "a", "b") == want
+    some = spark.createDataFrame([(3,), (3,), (999,), (None,)], "s long")
+    assert rows(R.two_hops(df, "s", "m", some, block=7), "a", "b") == [p for p in want if p[0] == 3]
+
+
+def test_two_hops_of_a_crowded_middle(spark):
+    edges = spark.range(100_000).select(F.col("id").alias("s"), F.lit(1).alias("m"))
+    sizes = R.in_blocks(edges, "s", "m", 1000).groupBy("part").count().agg(F.count("*"), F.max("count")).first()
+    assert sizes[0] == 100 and sizes[1] < 1200
+    assert R.two_hops(edges, "s", "m", spark.createDataFrame([(7,), (8,)], "s long")).count() == 2 * 99_999
+
+
 def test_smallest_window_gives_nothing_if_none_is_full(spark):
     df = spark.createDataFrame([("2024-01-01",)], "d string").withColumn("d", F.col("d").cast("date"))
     assert R.smallest_window(df, "d", F.lit("2024-01-02").cast("date"), [3, 6], 2).count() == 0

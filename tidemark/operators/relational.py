@@ -58,28 +58,51 @@ def tally(df: DataFrame, keys: list[str], kind: str, kinds: dict[str, str], memb
     return df.groupBy(*keys).agg(*out)
 
 
-def two_hops(edges: DataFrame, start: str, middle: str) -> DataFrame:
-    """(a, b) pairs of different starts that share a middle, once; middles are joined with themselves."""
-    one, two = edges.select(F.col(start).alias("a"), middle), edges.select(F.col(start).alias("b"), middle)
-    return one.join(two, middle).where("a <> b").select("a", "b").distinct()
+def in_blocks(edges: DataFrame, start: str, middle: str, block: int) -> DataFrame:
+    """(start, middle, part, parts): the starts of each middle dealt into parts of about ``block``; most middles are one part."""
+    parts = edges.groupBy(middle).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    return edges.join(parts, middle).withColumn("part", F.pmod(F.xxhash64(start), "parts").cast("int")).select(start, middle, "part", "parts")
 
 
-def within_interval(facts: DataFrame, spans: DataFrame, key: str, at: str, begin: str, end: str) -> DataFrame:
+def two_hops(edges: DataFrame, start: str, middle: str, of: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """(a, b) pairs of different starts that share a middle, once; with ``of`` (a column named as ``start``), pairs of those as a only.
+
+    The starts of a middle are dealt into parts of about ``block``, and two parts meet under a key of their own. So a
+    middle with d starts is spread over (d / block)^2 keys, each with at most about block^2 pairs, and its rows are
+    copied d / block times. Rows without a start or a middle have no pair.
+    """
+    known = edges.select(F.col(start).alias("a"), F.col(middle).alias("middle")).dropna().distinct()
+    placed = in_blocks(known, "a", "middle", block)
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one, two = placed.select("a", "middle", F.col("part").alias("p"), every.alias("q")), placed.select(F.col("a").alias("b"), "middle", F.col("part").alias("q"), every.alias("p"))
+    if of is not None:
+        one = one.join(of.select(F.col(start).alias("a")).distinct(), "a", "left_semi")
+        return one.join(two, ["middle", "p", "q"]).where("a <> b").select("a", "b").distinct()
+    # Each pair is found and made distinct in one direction and turned round at the end.
+    pairs = one.join(two, ["middle", "p", "q"]).where("a < b").select("a", "b").distinct()
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(both.alias("x")).select("x.a", "x.b")
+
+
+def within_interval(facts: DataFrame, spans: DataFrame, key: str | list[str], at: str, begin: str, end: str, step: int = 4) -> DataFrame:
     """Facts joined with the spans of the same key that hold them: begin < at <= end, an open end holds all.
 
     A span belongs to the level whose buckets are at least as long as it is, and lies in one or two buckets
-    there; a fact lies in one bucket of each level in use (64 at most). So a fact meets only spans near it, and a
+    there; a fact lies in one bucket of each level in use. Levels are ``step`` bits apart, so there are at most
+    64 / step and a bucket is at most 2^step times as long as its spans. A fact meets only spans near it, and a
     key with many facts and spans is spread over buckets. Open spans are a level of one bucket.
     """
+    keys = [key] if isinstance(key, str) else key
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     place = lambda c: F.when(F.col("__level") < 0, F.lit(0).cast("long")).otherwise(F.floor(micros(c) / F.pow(F.lit(2.0), F.col("__level"))))
-    level = F.when(F.col(end).isNull(), -1).otherwise(F.ceil(F.log2(F.greatest(micros(end) - micros(begin), F.lit(1)))).cast("int"))
+    length = F.log2(F.greatest(micros(end) - micros(begin), F.lit(1)))
+    level = F.when(F.col(end).isNull(), -1).otherwise(F.ceil(length / step).cast("int") * step)
     levelled = spans.withColumn("__level", level)
     levels = levelled.agg(F.collect_set("__level").alias("__levels"))
     levelled = levelled.withColumn("__bucket", F.explode(F.array_distinct(F.array_compact(F.array(place(begin), place(end))))))
-    placed = facts.join(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).withColumn("__bucket", place(at))
-    joined = placed.join(levelled, [key, "__level", "__bucket"]).where((F.col(begin) < F.col(at)) & ((F.col(at) <= F.col(end)) | F.col(end).isNull()))
-    return joined.drop("__level", "__levels", "__bucket")
+    placed = facts.join(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).withColumn("__bucket", place(at)).drop("__levels")
+    joined = placed.join(levelled, [*keys, "__level", "__bucket"]).where((F.col(begin) < F.col(at)) & ((F.col(at) <= F.col(end)) | F.col(end).isNull()))
+    return joined.drop("__level", "__bucket")
 
 
 def zero_filled_share(facts: DataFrame, group: str, part: str, value: str) -> DataFrame:
@@ -105,11 +128,57 @@ def smallest_window(df: DataFrame, at: str, as_of: Column, days: list[int], leas
     return rows.join(F.broadcast(chosen)).where(F.col("age_days").between(0, F.col("window_days"))).drop("age_days")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, fits: Column, pick: str) -> DataFrame:
-    """For each left row the right row of the same key that ``fits`` and is nearest in time; ties go to the smaller ``pick``."""
-    gap = F.abs(F.unix_micros(F.col(left_at).cast("timestamp")) - F.unix_micros(F.col(right_at).cast("timestamp")))
-    pairs = left.join(right, key).where(fits).withColumn("gap", gap)
-    return pairs.groupBy(*left.columns).agg(F.min(F.struct("gap", F.col(pick))).alias("m")).select(*left.columns, F.col(f"m.{pick}").alias(pick), F.col("m.gap").alias("gap"))
+def _neighbours(rows: DataFrame, slot: list[str], width: int) -> DataFrame:
+    """``rows`` with ``before`` and ``after``: the last ``__r`` at or before their ``__at`` and the first at or after it, of their ``slot``.
+
+    Rows are sorted within stretches of ``width`` microseconds only; what lies in other stretches comes from one row
+    for each stretch, so a crowded slot is spread over its stretches.
+    """
+    rows = rows.withColumn("__day", F.floor(F.col("__at") / width))
+    stretch = Window.partitionBy(*slot, "__day")
+    up, down = stretch.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0), stretch.orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
+    days = rows.groupBy(*slot, "__day").agg(F.max("__r").alias("last"), F.min("__r").alias("first"))
+    past, future = [Window.partitionBy(*slot).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc("__day"), F.desc("__day"))]
+    days = days.select(*slot, "__day", F.max("last").over(past).alias("__past"), F.min("first").over(future).alias("__future"))
+    here = rows.withColumns({"__up": F.max("__r").over(up), "__down": F.min("__r").over(down)}).where("__r IS NULL")
+    return here.join(days, [*slot, "__day"]).withColumns({"before": F.coalesce("__up", "__past"), "after": F.coalesce("__down", "__future")})
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, left_size: str, right_size: str, pick: str, ratio: float = 10.0, width: int = 86_400_000_000) -> DataFrame:
+    """For each left row the ``pick`` of the right row of the same key that is nearest in time, with ``gap`` in microseconds,
+    among those whose size is over 1 / ``ratio`` and under ``ratio`` times the left one's. Ties go to the smaller ``pick``.
+
+    Sizes are dealt into classes, three to a factor of ``ratio``: rows of the same class or the next ones always fit, so
+    there the nearest are the neighbours in a common order by time (``_neighbours``). Two more classes on either side
+    may fit; their rows are tested only if they are no farther off than what was found already. So pairs are made of
+    few rows near in time, not of a key; only a left row without any fit in the three middle classes meets the four
+    outer ones of its key in full. Equal left rows become one; rows without key, time or positive size have no match.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    cell = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(ratio)) * 3)
+    able = lambda df, at, size: df.where(F.col(key).isNotNull() & F.col(at).isNotNull() & (F.col(size) > 0) & (F.col(size) < float("inf")))
+    own = F.struct(*[F.col(c) for c in left.columns])
+    lefts = able(left, left_at, left_size).distinct().select(own.alias("__l"), F.col(key).alias("__k"), micros(left_at).alias("__at"), cell(left_size).alias("__c"))
+    rights = able(right, right_at, right_size).select(F.col(key).alias("__k"), cell(right_size).alias("__cell"), micros(right_at).alias("__at"), F.col(right_size).alias("__size"), F.col(pick).alias("__pick"))
+
+    asked = lambda offsets: lefts.withColumn("__cell", F.explode(F.transform(F.lit(offsets), lambda d: d + F.col("__c"))))
+    given = rights.groupBy("__k", "__cell", "__at").agg(F.min("__pick").alias("__pick"))
+    given = given.select("__k", "__cell", "__at", F.struct("__at", "__pick").alias("__r"))
+    near = _neighbours(asked([-1, 0, 1]).drop("__c").unionByName(given, allowMissingColumns=True), ["__k", "__cell"], width)
+    found = lambda r: F.when(F.col(r).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(f"{r}.__at")).alias("gap"), F.col(f"{r}.__pick").alias("pick")))
+    inner = near.groupBy("__l").agg(F.min(F.least(found("before"), found("after"))).alias("m"))
+
+    reach = F.expr("m.gap")
+    moment = F.unix_micros(F.col(f"__l.{left_at}").cast("timestamp"))
+    spans = inner.select("__l", F.col(f"__l.{key}").alias("__k"), F.coalesce(F.timestamp_micros(moment - reach - 1), F.lit("0001-01-01").cast("timestamp")).alias("__begin"), F.timestamp_micros(moment + reach).alias("__end"), F.log(F.col(f"__l.{left_size}")).alias("__log"))
+    spans = spans.withColumn("__cell", F.explode(F.transform(F.lit([-3, -2, 2, 3]), lambda d: d + F.floor(F.col("__log") / F.log(F.lit(ratio)) * 3)))).drop("__log")
+    outer = within_interval(rights.withColumn("__when", F.timestamp_micros("__at")).drop("__at"), spans, ["__k", "__cell"], "__when", "__begin", "__end")
+    size = F.col(f"__l.{left_size}")
+    outer = outer.where((F.col("__size") > size * F.lit(1 / ratio)) & (F.col("__size") < size * F.lit(ratio)))
+    outer = outer.select("__l", F.struct(F.abs(moment - F.unix_micros("__when")).alias("gap"), F.col("__pick").alias("pick")).alias("m"))
+
+    best = inner.unionByName(outer).groupBy("__l").agg(F.min("m").alias("m")).where("m IS NOT NULL")
+    return best.select(*[F.col(f"__l.`{c}`").alias(c) for c in left.columns], F.col("m.pick").alias(pick), F.col("m.gap").alias("gap"))
 
 
 def field_profile(df: DataFrame) -> DataFrame:

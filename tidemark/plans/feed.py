@@ -112,8 +112,7 @@ def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     left = events.where("event_type = 'signup'").select("event_id", "user_id", "ts", "value")
     right = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("at"), F.col("value").alias("paid"))
-    fits = (F.col("paid") > F.col("value") * 0.1) & (F.col("paid") < F.col("value") * 10)
-    return R.nearest(left, right, "user_id", "ts", "at", fits, "purchase").select("event_id", "user_id", "purchase", "gap")
+    return R.nearest(left, right, "user_id", "ts", "at", "value", "paid", "purchase").select("event_id", "user_id", "purchase", "gap")
 
 
 @query("""
