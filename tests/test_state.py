@@ -8,6 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import feeds
 from tidemark.operators import monitors as M
 from tidemark.operators import relational as R
 from tidemark.operators import state as ST
@@ -526,3 +527,38 @@ def test_zoek_monitors_search_as_the_search_does(spark):
     got = rows(M.evaluate(given, tables), "monitor", "identifier")
     want = [(k, str(r["doc"])) for k, q in enumerate(typed) if q != "AND" for r in S.match(index, q, raw=q in QUERIES).collect()]
     assert got == sorted(want) and len(want) > 60
+
+
+def test_feeds_are_escaped_ordered_and_complete(spark):
+    schema = "feed string, at timestamp, nummer long, onderwerp string, titel string, naam string, bijgewerkt timestamp"
+    day = lambda n: __import__("datetime").datetime(2024, 3, n)
+    docs = [("a", day(1), 3, "x <b> & y", "T", None, day(1)), ("a", day(1), 2, None, None, "N", day(1)), ("a", day(4), 9, "z", "T", "N", day(5))]
+    items = feeds.items(spark.createDataFrame(docs + docs[:1], schema), F.col("feed"), F.col("at"))
+    assert rows(items, "title", "description", "guid") == [("", "N |  ", "record_2"), ("x <b> & y", " | T x <b> & y", "record_3"), ("z", "N | T z", "record_9")]
+    every = spark.createDataFrame([("a", "A&B", "about"), ("none", "N", "")], "feed string, title string, about string")
+    out = {r["feed"]: r for r in feeds.channels(items, every, "https://example.org/", F.lit("2024-01-01").cast("timestamp")).collect()}
+    from xml.etree import ElementTree
+
+    full, empty = [ElementTree.fromstring(out[f]["xml"].encode()) for f in ("a", "none")]
+    assert [g.text for g in full.iter("guid")] == ["record_9", "record_2", "record_3"] and full.find("channel/title").text == "A&B"
+    assert full.find("channel/lastBuildDate").text == "Tue, 05 Mar 2024 00:00:00 GMT" and full.findall(".//item/title")[2].text == "x <b> & y"
+    assert out["none"]["items"] == 0 and empty.find("channel/pubDate").text == "Mon, 01 Jan 2024 00:00:00 GMT" and empty.find("channel/lastBuildDate") is None
+
+
+def test_hits_are_described_by_category(spark):
+    t = lambda data, schema: spark.createDataFrame(data, schema)
+    tables = {
+        "Document": t([(1, "subject"), (2, None)], "nummer long, onderwerp string"),
+        "Verslag": t([(1, "plenary")], "nummer long, titel string"),
+        "Activiteit": t([(1, "Debat", "over x", "2024-01-02T10:00"), (2, "Debat", None, None), (3, "Debat", "y", "2024")], "nummer long, soort string, onderwerp string, datum string"),
+        "PersoonGeschenk": t([(1, "Jan", "", "Berg", "vaas")], "nummer long, roepnaam string, tussenvoegsel string, achternaam string, omschrijving string"),
+        "Toezegging": t([(1, "M", "BZK", "doet iets")], "nummer long, naam string, ministerie string, tekst string"),
+    }
+    hits = t([(c, n, 0) for c in (*tables, "Other") for n in (1, 2, 3)] + [("Document", 1, 0), (None, 1, 0)], "category string, nummer long, more int")
+    got = {(r["category"], r["nummer"]): r["description"] for r in feeds.described(hits, tables).collect()}
+    want = {("Document", 1): "subject", ("Verslag", 1): "plenary", ("Activiteit", 1): "Debat over x (2024-01-02 10:00)", ("Activiteit", 2): " (nog geen datum)", ("Activiteit", 3): "Debat y (2024)"}
+    want |= {("PersoonGeschenk", 1): "Geschenk aan Jan  Berg: vaas", ("Toezegging", 1): "Toezegging van M (BZK): doet iets"}
+    want |= {("Other", n): None for n in (1, 2, 3)}
+    assert got == {(c, n): "" for c in tables for n in (1, 2, 3)} | want | {(None, 1): None}
+    with pytest.raises(ValueError):
+        feeds.described(hits, {"Other": tables["Document"]})

@@ -24,5 +24,5 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("cases", "people", "feed", "monitors", "texts", "pages"):
+for _name in ("cases", "people", "feed", "monitors", "texts", "pages", "readers"):
     importlib.import_module(f"tidemark.plans.{_name}")

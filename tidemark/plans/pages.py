@@ -15,7 +15,7 @@ from tidemark.plans import query
 from tidemark.plans.cases import day, newest
 from tidemark.plans.texts import _has, stored_index
 from tidemark.search import engine as S
-from tidemark.sources import publications
+from tidemark.sources import enclosures, publications
 from tidemark.sources.tables import TABLES, table
 from tidemark.streaming.feed import scratch
 
@@ -261,13 +261,14 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT d.doc_id, n_chars AS size, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'wrongsize' END AS outcome FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id
-WHERE l.doc_id IS NULL OR (n_chars % 11 = 0)""")
+WHERE l.doc_id IS NULL OR strlen(text) <> n_chars""")
 def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of stored files that are missing or have another size than they should."""
-    stored = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("there", F.lit(True))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("size")).join(stored, "doc_id", "left")
-    outcome = F.when(F.col("there").isNull(), "missing").when(F.col("size") % 11 == 0, "wrongsize")
-    return rows.select("doc_id", "size", outcome.alias("outcome")).where("outcome IS NOT NULL")
+    """The report of stored files that are missing or have another size in bytes than was declared."""
+    docs = table(spark, sf_dir, "documents")
+    wanted = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), F.lit(None).cast("string").alias("hash"))
+    there = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    found = enclosures.audit(wanted, there.select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))).where("outcome <> 'ok'")
+    return found.select(F.col("id").alias("doc_id"), "size", "outcome")
 
 
 def write_report(rows: DataFrame, path: str) -> None:

@@ -31,10 +31,14 @@ def stored_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """(id, outcome) by size and SHA-1: missing, wrongsize, wronghash or ok. ``wanted``: (id, size, hash)."""
-    rows = wanted.join(stored, "id", "left")
-    outcome = F.when(F.col("content").isNull(), "missing").when(F.length("content") != F.col("size"), "wrongsize").when(F.sha1("content") != F.lower("hash"), "wronghash").otherwise("ok")
-    return rows.select("id", outcome.alias("outcome"))
+    """``wanted`` with ``outcome`` by size and SHA-1: missing, wrongsize, wronghash or ok. ``wanted``: (id, size, hash); a null hash is not compared.
+
+    Sizes and digests are taken where the files are read, so no content is exchanged for the join.
+    """
+    measured = stored.where("content IS NOT NULL").select("id", F.length("content").alias("__size"), F.sha1("content").alias("__sha1"))
+    rows = wanted.join(measured, "id", "left")
+    outcome = F.when(F.col("__size").isNull(), "missing").when(F.col("__size") != F.col("size"), "wrongsize").when(F.col("__sha1") != F.lower("hash"), "wronghash").otherwise("ok")
+    return rows.select(*wanted.columns, outcome.alias("outcome"))
 
 
 def texts(stored: DataFrame) -> DataFrame:
