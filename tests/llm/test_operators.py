@@ -629,3 +629,10 @@ def test_the_automaton_accepts_what_merging_gives():
                 _, k = min(pairs)
                 parts[k : k + 2] = [parts[k] + parts[k + 1]]
             assert [machine.label[t] for t in machine.encode(word)] == parts
+
+
+def test_tokens_do_not_depend_on_the_encoders_memory(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = sorted(map(tuple, bpe.encode(docs, path).collect()))
+    assert sorted(map(tuple, bpe.encode(docs, path, remember=7, most=500).collect())) == want and len(want) >= 200

@@ -301,8 +301,8 @@ class Codec:
             of["\n"] = "\n"
             known.update(zip(chunks, _apart(map(of.__getitem__, parts)), strict=True))
 
-    def encode_all(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Of each text the number of tokens, ids joined by spaces, and labels joined by spaces."""
+    def encode_all(self, texts: list[str], remember: int = MEMO_WORDS) -> list[tuple[int, str, str]]:
+        """Of each text the number of tokens, ids joined by spaces, and labels joined by spaces; up to twice ``remember`` runs are kept for later texts."""
         cut, here = [], set()
         for text in texts:
             parts = []
@@ -329,7 +329,7 @@ class Codec:
         for chunk in here:
             if len(chunk) > MEMO_CHARS:
                 del young[0][chunk], young[1][chunk]
-        if len(young[0]) > MEMO_WORDS:
+        if len(young[0]) > remember:
             self.old, self.young = young, ({}, {})
         return out
 
@@ -355,7 +355,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, remember: int = MEMO_WORDS, most: int = 1 << 21) -> DataFrame:
     """Encodes every text and decodes it again.
 
     Returns the id column, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by a space),
@@ -363,6 +363,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Each row stands alone (repeated rows give repeated results); other columns are not read, and an
     empty table gives an empty result. ``path`` is a tokenizer file that the driver can open; the compiled tables
     (some 20 MB for 49,000 tokens, whatever the corpus) are broadcast, and leave the workers with the query.
+    ``remember`` and ``most`` (bytes of text taken at once) trade a worker's memory for its time; results don't depend on them.
     """
     sent = docs.sparkSession.sparkContext.broadcast(codec(path))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -372,8 +373,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = sent.value
         sha = hashlib.sha256
         for batch in batches:
-            for part in slices(batch, text_col):
-                rows = c.encode_all([t or "" for t in part.column(1).to_pylist()])
+            for part in slices(batch, text_col, most):
+                rows = c.encode_all([t or "" for t in part.column(1).to_pylist()], remember)
                 out = [
                     part.column(0),
                     pa.array([r[0] for r in rows], pa.int64()),
