@@ -54,7 +54,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with the digests of ids and decoded text: a row for each row, no tokens for null and empty texts."""
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=True)
+    # Executors have grown by the last stage, so it remembers a quarter of the usual runs and takes half of the usual text at once.
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=True, remember=1 << 15, most=1 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
