@@ -268,6 +268,14 @@ def test_feed_page_keeps_the_token_of_the_entry_before():
     assert [r[2] for r in found] == [11, 11] and found[0][0] == "Document" and following
 
 
+def test_throttle_takes_parts_of_a_second_into_account(spark):
+    seen = [("in", "2024-01-05 00:00:00.250000"), ("in", "2024-01-10 00:00:00.250000"), ("out", "2024-01-05 00:00:00.249999"), ("out", "2024-01-09 00:00:00"), ("late", "2024-01-10 00:00:00.250001"), ("late", "2024-01-10")]
+    reports = spark.createDataFrame(seen, "thing string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    now = F.lit("2024-01-10 00:00:00.25").cast("timestamp_ntz")
+    assert rows(ST.throttled(reports, "thing", "at", now, 5 * 86400, 2), "thing", "reports") == [("in", 2)]
+    assert rows(ST.throttled(reports, "thing", "at", now, 50 * 86400, 2, keep_days=5), "thing", "reports") == [("in", 2)]
+
+
 def test_publications(spark):
     page = json.dumps({"resultaten": [{"document": {"id": "ab_1", "titel": "t", "mutatiedatumtijd": "m"}, "bestandsType": "pdf"}, {"document": {"id": "cd_1"}}]})
     listed = publications.entries(spark.createDataFrame([(page,)], "json string"))
