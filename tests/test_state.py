@@ -14,6 +14,7 @@ from tidemark.operators import relational as R
 from tidemark.operators import state as ST
 from tidemark.operators.linking import link_dossiers
 from tidemark.operators.names import resolve_names
+from tidemark.plans import QUERIES
 from tidemark.sources import enclosures, feed, publications
 from tidemark.streaming.feed import current, daily_counts, read_feed, upsert_stream
 
@@ -276,6 +277,16 @@ def test_throttle_takes_parts_of_a_second_into_account(spark):
     assert rows(ST.throttled(reports, "thing", "at", now, 50 * 86400, 2, keep_days=5), "thing", "reports") == [("in", 2)]
 
 
+def test_lists_are_cut_into_pages_without_gathering_a_day(spark, small_dir):
+    seen = [("2024-03-01 10:00:00.5", 7, ["a"]), ("2024-03-01 10:00:00.5", 3, ["a", "b"]), ("2024-03-01 09:00:00", 9, ["a", "a"]), ("2024-03-01 10:00:59", 1, ["b"]), ("2024-03-02 00:00:00", 5, ["a", "b"])]
+    listed = spark.createDataFrame(seen, "ts string, id int, days array<string>").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "r": F.struct("id")})
+    cut = publications.paged(listed, "ts", ["id"], 2).select("day", "page", F.col("resultaten.id").alias("ids"))
+    assert rows(cut, "day", "page", "ids") == [("a", 0, [9, 3]), ("a", 1, [7, 5]), ("b", 0, [3, 1]), ("b", 1, [5])]
+    plan = QUERIES["publication_days"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    gathering = [line for line in plan.splitlines() if "Aggregate [" in line and "collect_list" in line]
+    assert gathering and all("page#" in line.split("]")[0] for line in gathering)
+
+
 def test_publications(spark):
     page = json.dumps({"resultaten": [{"document": {"id": "ab_1", "titel": "t", "mutatiedatumtijd": "m"}, "bestandsType": "pdf"}, {"document": {"id": "cd_1"}}]})
     listed = publications.entries(spark.createDataFrame([(page,)], "json string"))

@@ -311,17 +311,14 @@ s AS (SELECT day, min(page) AS last FROM p WHERE other > 3 GROUP BY 1)
 SELECT day, event_id::VARCHAR AS id FROM p LEFT JOIN s USING (day) WHERE (last IS NULL OR page <= last) AND other <= 3""")
 def publication_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries that each day's list of publications is read for: pages of 50 in order, until more than three of a page are of another day."""
-    at = F.date_format("ts", "yyyy-MM-dd")
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", at.alias("at"))
+    rows = table(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("at"))
     # The list of a day goes on with the next day, so an entry stands in the lists of its day and the one before.
-    days = rows.select("at").distinct().select(F.col("at").alias("day"))
-    listed = rows.select("*", F.explode(F.array("at", F.date_format(F.date_sub(F.col("at").cast("date"), 1), "yyyy-MM-dd"))).alias("day")).join(days, "day")
+    listed = F.array("at", F.date_format(F.date_sub(F.col("at").cast("date"), 1), "yyyy-MM-dd"))
     document = F.struct(F.col("event_id").cast("string").alias("id"), F.col("at").alias("openbaarmakingsdatum"))
-    own = F.struct("ts", "event_id", F.struct(document.alias("document")).alias("r"))
-    # A day's list, as the site gives it: a day's entries are one answer, cut into pages.
-    lists = listed.groupBy("day").agg(F.array_sort(F.collect_list(own)).alias("all"))
-    pages = lists.select("day", F.col("all"), F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 50).cast("int"))).alias("page"))
-    pages = pages.select("day", "page", F.to_json(F.struct(F.transform(F.slice("all", F.col("page") * 50 + 1, 50), lambda x: x["r"]).alias("resultaten"))).alias("json"))
+    entry = F.struct(document.alias("document"))
+    pages = publications.paged(rows.select("ts", "event_id", "at", listed.alias("days"), entry.alias("r")), "ts", ["event_id"], 50)
+    days = rows.select(F.col("at").alias("day")).distinct()
+    pages = pages.join(F.broadcast(days), "day", "left_semi").select("day", "page", F.to_json(F.struct("resultaten")).alias("json"))
     return publications.of_day(pages).select("day", F.col("r.document.id").alias("id"))
 
 

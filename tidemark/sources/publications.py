@@ -8,7 +8,7 @@ import urllib.request
 from collections.abc import Iterable, Iterator
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -126,10 +126,29 @@ def of_day(pages: DataFrame, column: str = "json", allowed: int = 3) -> DataFram
     rows = rows.withColumn("scan", F.aggregate(F.coalesce("results", F.array()), zero, step))
     ends = (F.col("scan.other") > allowed) | (F.coalesce(F.size("results"), F.lit(0)) <= 0)
     stops = rows.where(ends).groupBy("day").agg(F.min("page").alias("last"))
-    rows = rows.join(stops, "day", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
+    rows = rows.join(F.broadcast(stops), "day", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
     return rows.select("day", "page", F.posexplode(F.slice("results", F.lit(1), F.col("scan.read"))).alias("place", "r"))
 
 
+def paged(rows: DataFrame, at: str, order: list[str], size: int, stretch: int = 60) -> DataFrame:
+    """(day, page, resultaten): the lists of days, cut into pages of ``size`` that count from 0.
+
+    ``rows``: (``at``, a time; ``days``, in whose lists the row stands; ``r``, the result), ordered by ``at`` and ``order``.
+    Rows are numbered within stretches of so many seconds, and what lies before a stretch comes from one count for
+    each, so no list meets in one task or row: a page is the largest group.
+    """
+    stretched = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / stretch).alias("__stretch")
+    listed = rows.select(stretched, F.col(at).alias("__at"), *order, "r", F.explode(F.array_distinct("days")).alias("day"))
+    listed = listed.withColumn("__n", F.row_number().over(Window.partitionBy("day", "__stretch").orderBy("__at", *order)))
+    counts = listed.groupBy("day", "__stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("day").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("day", "__stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__n") - 1
+    placed = listed.join(offsets, ["day", "__stretch"]).select("day", F.floor(place / size).cast("int").alias("page"), F.struct(place.alias("place"), "r").alias("x"))
+    pages = placed.groupBy("day", "page").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return pages.select("day", "page", F.transform("x", lambda x: x["r"]).alias("resultaten"))
+
+
 def details(rows: DataFrame, id_col: str = "id", column: str = "json", parent_role: str = "hasPart") -> DataFrame:
     """A row for each detail document: first file of the first version, labels as JSON texts, the parent by its role."""
     p = rows.select(id_col, column, F.from_json(column, DETAIL).alias("d"))
