@@ -277,6 +277,23 @@ def test_throttle_takes_parts_of_a_second_into_account(spark):
     assert rows(ST.throttled(reports, "thing", "at", now, 50 * 86400, 2, keep_days=5), "thing", "reports") == [("in", 2)]
 
 
+def test_hits_are_not_exchanged_and_stay_whole_in_many_parts(spark):
+    columns = [F.lit("").alias(c) for c in ("toevoeging", "commissie", "fractie", "query")]
+    given = spark.range(40).select("id", F.lit(1).alias("userid"), F.when(F.col("id") % 2 == 0, "OODocumentVerantwoordelijke").otherwise("zaak").alias("soort"), F.lit("n").alias("nummer"), *columns, F.lit("x").alias("verantwoordelijke"), F.lit("2024-01-02").alias("cutoff"))
+    docs = spark.range(3000).select(F.col("id").alias("doc"), F.when(F.col("id") % 3 == 0, "2024-01-01").otherwise("2024-01-02").alias("datum"), F.lit("").alias("dossier"), F.lit("").alias("suffix"), F.lit("x").alias("publisher"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    tables = {
+        "document": docs.unionByName(docs.where("doc < 10")), "link": docs.select(F.col("doc").alias("van"), F.lit("n").alias("naar"), F.lit("Zaak").alias("link_soort")), "mention": docs.where("doc < 100").select(F.lit("n").alias("said"), F.col("doc").alias("at_doc")),
+        "actor": none("actor_doc long, actor_commissie string, actor_persoon string, relatie string"), "posting": none("at_doc long, token string"),
+        "speech": none("meeting long, speaker string, seconds long, datum string"), "commitment": none("commitment long, maker string, of_fractie string, of_commissie string, datum string"),
+    }
+    found = M.evaluate(given, tables)
+    assert found.count() == found.distinct().count() == 40 * 2000
+    # No operator above the join with the monitors groups or exchanges hits: their names are made by the topmost projections.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "userid" in line and "doc" in line]
+
+
 def test_lists_are_cut_into_pages_without_gathering_a_day(spark, small_dir):
     seen = [("2024-03-01 10:00:00.5", 7, ["a"]), ("2024-03-01 10:00:00.5", 3, ["a", "b"]), ("2024-03-01 09:00:00", 9, ["a", "a"]), ("2024-03-01 10:00:59", 1, ["b"]), ("2024-03-02 00:00:00", 5, ["a", "b"])]
     listed = spark.createDataFrame(seen, "ts string, id int, days array<string>").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "r": F.struct("id")})
