@@ -216,3 +216,19 @@ def test_audit_of_odd_rows_in_small_ranges(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == audit_by_hand(rows, labels)
     assert filter_audit.audit_filters(frame(spark, []), table).count() == 0
     assert filter_audit.audit_filters(frame(spark, ODD), table.limit(0)).count() == 600 * 4
+
+
+def test_sets_are_not_exchanged_for_each_join(spark):
+    """Joins of pairs with the sets exchange the pairs only; before, each of them exchanged all sets twice."""
+    join = chosen_path.Join(frame(spark, [(i, f"a b c d e f g h i j k l m n o p q r s t {i // 2}", "en") for i in range(40)]), "doc_id", "text", 85, 0.99999)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        join.run()
+        names = [r["tableName"] for r in spark.sql("SHOW TABLES LIKE 'tables_*'").collect()]
+        linked = join._similar(join.written(join.edges))
+        plan = linked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and linked.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        join.folder.remove()
+    assert names and not spark.sql("SHOW TABLES LIKE 'tables_*'").collect()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Folder, checkpoint, slices, utf8
+from tidemark.llm.common import Folder, checkpoint, shuffle_partitions, slices, utf8
 from tidemark.llm.components import components
 from tidemark.llm.shingles import digests, grams, mix, sets, words
 
@@ -351,8 +351,10 @@ class Join:
                     packed = [value[x:y].tobytes() for x, y in zip(start[:-1], start[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["id", "packed"]).filter(pa.array(own))
 
-        made = texts.mapInArrow(run, "id long, packed binary")
-        made = self.written(made.dropDuplicates(["id"]) if self.repeated else made)
+        # Texts are exchanged by class, as they are smaller than sets; the sets made of them stay where they are for all joins that follow.
+        parts = shuffle_partitions(self.docs.sparkSession)
+        made = texts.repartition(parts, "id").mapInArrow(run, "id long, packed binary")
+        made = self.folder.bucketed(made.dropDuplicates(["id"]).repartition(parts, "id") if self.repeated else made, "id")
         self.sets = made if self.sets is None else self.sets.unionByName(made)
 
     def _similar(self, pairs: DataFrame) -> DataFrame:

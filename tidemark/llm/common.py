@@ -54,6 +54,7 @@ class Folder:
         if spark.sparkContext.getCheckpointDir() is None:
             checkpoint(spark.range(0))
         self.spark, self.path, self.tables = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}", 0
+        self.names: list[str] = []
 
     def written(self, df: DataFrame) -> DataFrame:
         self.tables += 1
@@ -61,7 +62,20 @@ class Folder:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """As ``written``, once exchanged by ``key`` and kept in buckets of it, so that joins on it don't exchange the table again.
+
+        ``df``: rows of one partition of ``key`` each, as ``repartition(shuffle_partitions(spark), key)`` makes them.
+        """
+        self.tables += 1
+        name = f"tables_{uuid.uuid4().hex}"
+        df.write.bucketBy(shuffle_partitions(self.spark), key).option("path", f"{self.path}/{self.tables}").format("parquet").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
     def remove(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
