@@ -1,6 +1,7 @@
 """Every query of the catalogue against its DuckDB statement."""
 
 import pytest
+from pyspark.sql import functions as F
 from oracle import connect, differences
 
 from tidemark.plans import ORACLES, QUERIES
@@ -26,3 +27,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 247
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_children_are_exchanged_once_and_distinct_where_wanted(spark):
+    """Rows shown in two lists are one row, in numeric order; equal children stand once in the lists that want it. Before, each list had rows of its own."""
+    from tidemark.plans.pages import with_children
+
+    parents = spark.createDataFrame([(1,), (2,)], "k long")
+    rows = spark.createDataFrame([(1, 10), (1, 9), (1, 100), (1, 9), (1, None)], "k long, n long")
+    n = F.coalesce(F.col("n").cast("string"), F.lit(""))
+    out = with_children(parents, "k", {("a", "b"): (rows, ["n"], [n, F.concat(F.lit("x"), n)]), "c": (rows, ["n"], n)}, once=("c",))
+    assert sorted(map(tuple, out.collect())) == [(1, ["", "9", "9", "10", "100"], ["x", "x9", "x9", "x10", "x100"], ["", "9", "10", "100"]), (2, [], [], [])]

@@ -359,26 +359,33 @@ def scalar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sortable(rows: DataFrame, c: str) -> Column:
-    """A column as text of the same order: whole numbers (none below zero) get their digits in line, other text stays."""
-    value = F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.lpad(value, 20, "0") if isinstance(rows.schema[c].dataType, IntegralType) else value
+    """A column as text of the same order: whole numbers (none below zero) begin with a letter for their number of digits, other text stays."""
+    value = F.col(c).cast("string")
+    if isinstance(rows.schema[c].dataType, IntegralType):
+        value = F.concat(F.chr(F.length(value) + 64), value)
+    return F.coalesce(value, F.lit(""))
 
 
-def with_children(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str], Column]]) -> DataFrame:
+def with_children(parents: DataFrame, key: str, children: dict[str | tuple[str, ...], tuple[DataFrame, list[str], Column | list[Column]]], once: tuple[str, ...] = ()) -> DataFrame:
     """``parents`` with a list for each kind of child.
 
-    ``children``: by name, rows with the parent's key, the columns that order them, and what the list shows. All kinds
-    become one tagged table of the same three columns, which one aggregation turns into a filtered list for each kind;
-    so lists don't multiply each other, however many there are, and the parents are joined once. Parents without
-    children have empty lists. Nulls in what is ordered come first.
+    ``children``: by name, rows with the parent's key, the columns that order them, and what the list shows; several
+    names with a text each if the same rows are shown in several lists. All kinds become one tagged table of the same
+    columns, whose rows are exchanged as they are; one aggregation gathers them in one list, from which each list is
+    taken. So lists don't multiply each other, however many there are, and the parents are joined once. Parents without
+    children have empty lists. Nulls in what is ordered come first. In the lists named in ``once``, children of equal
+    order and text stand once.
     """
-    tagged = _union([
-        rows.select(F.col(key), F.lit(name).alias("__kind"), F.struct(F.array(*[_sortable(rows, c) for c in order]).alias("at"), shown.cast("string").alias("shown")).alias("__child"))
-        for name, (rows, order, shown) in children.items()
-    ])
-    lists = tagged.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("__kind") == name, F.col("__child")))).alias(name) for name in children])
-    text = lambda name: F.transform(F.coalesce(F.col(name), F.array().cast(lists.schema[name].dataType)), lambda x: x["shown"])
-    return parents.join(lists, key, "left").select(*parents.columns, *[text(name).alias(name) for name in children])
+    tagged, places = [], {}
+    for kind, (names, (rows, order, shown)) in enumerate(children.items()):
+        texts = [x.cast("string") for x in (shown if isinstance(shown, list) else [shown])]
+        places |= {name: (kind, k) for k, name in enumerate([names] if isinstance(names, str) else names)}
+        tagged.append(rows.select(F.col(key), F.struct(F.lit(kind).cast("byte").alias("kind"), F.array(*[_sortable(rows, c) for c in order]).alias("at"), F.array(*texts).alias("shown")).alias("__child")))
+    lists = _union(tagged).repartition(key).groupBy(key).agg(F.array_sort(F.collect_list("__child")).alias("__children"))
+    every = F.coalesce("__children", F.array().cast(lists.schema["__children"].dataType))
+    of = lambda name, kind: (F.array_distinct if name in once else lambda x: x)(F.filter(every, lambda x: x["kind"] == kind))
+    text = lambda name, kind, k: F.transform(of(name, kind), lambda x: x["shown"][k])
+    return parents.join(lists, key, "left").select(*parents.columns, *[text(name, *place).alias(name) for name, place in places.items()])
 
 
 @query("""
@@ -405,17 +412,17 @@ def document_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     annexes = orders.where("doc % 8 <> 0").select((F.col("doc") - F.col("doc") % 8).alias("doc"), F.col("doc").alias("annex"))
     cases = of_case.join(t("part").select(F.col("p_partkey").alias("zaak"), "p_name"), "zaak", "left")
     events = t("events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"))
-    of_cases = of_case.select("doc", F.col("zaak").alias("event_id")).unionByName(events.select(F.col("event_id").alias("doc"), "event_id")).distinct()
+    of_cases = of_case.select("doc", F.col("zaak").alias("event_id")).unionByName(events.select(F.col("event_id").alias("doc"), "event_id"))
     questions = of_case.join(orders.where("soort = '1-URGENT'").select("doc"), "doc").select("doc", "zaak")
     answers = of_case.join(orders.where("soort = '2-HIGH'").select("doc"), "doc").select(F.col("doc").alias("answer"), "zaak")
     pages = with_children(orders, "doc", {
         "actors": (actors, ["l_returnflag", "s_name"], F.concat_ws(" ", "l_returnflag", "s_name")),
         "annexes": (annexes, ["annex"], F.col("annex")),
-        "cases": (cases, ["zaak"], F.concat_ws(" ", text("zaak"), F.coalesce("p_name", F.lit("")))),
-        "votes": (of_case, ["zaak"], F.concat_ws(" ", text("zaak"), F.lit("voor"), text("ayes"), F.lit("tegen"), text("noes"))),
+        ("cases", "votes"): (cases, ["zaak"], [F.concat_ws(" ", text("zaak"), F.coalesce("p_name", F.lit(""))), F.concat_ws(" ", text("zaak"), F.lit("voor"), text("ayes"), F.lit("tegen"), text("noes"))]),
         "activities": (of_cases.join(events, "event_id"), ["at", "event_id"], F.concat_ws(" ", "at", "event_type")),
-        "answers": (questions.join(answers, "zaak").select("doc", "answer").distinct(), ["answer"], F.col("answer")),
-    })
+        "answers": (questions.join(answers, "zaak").select("doc", "answer"), ["answer"], F.col("answer")),
+    }, once=("activities", "answers"))
+    pages = pages.withColumn("votes", F.array_distinct("votes"))  # a case with two names has one line of votes
     alone = (F.col("soort") == "1-URGENT") & (F.size("cases") == 1) & (F.size("answers") == 0)
     pages = pages.withColumn("open_case", F.when(alone, F.split_part(F.get("cases", F.lit(0)), F.lit(" "), F.lit(1))).otherwise(""))
     return pages.select("doc", "nummer", "datum", "soort", *[F.array_join(c, "; ").alias(c) for c in ("actors", "annexes", "cases", "votes", "activities", "answers")], "open_case")
