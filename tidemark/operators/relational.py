@@ -106,11 +106,17 @@ def within_interval(facts: DataFrame, spans: DataFrame, key: str | list[str], at
 
 
 def zero_filled_share(facts: DataFrame, group: str, part: str, value: str) -> DataFrame:
-    """(group, part, total, share) for every group and every part of the whole table; share is the percentage within the group."""
+    """(group, part, total, share) for every group and every part of the whole table; share is the percentage within the group.
+
+    Parts and groups both come from one row for each group, so ``facts`` are worked out once. A null part is none, and
+    a null group has no totals.
+    """
     sums = facts.groupBy(group, part).agg(F.sum(value).alias("total"))
-    parts = sums.agg(F.array_sort(F.collect_set(part)).alias("parts"))
-    every = sums.select(group).distinct().join(F.broadcast(parts)).select(group, F.explode("parts").alias(part))
-    filled = every.join(sums, [group, part], "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    rows = sums.groupBy(group).agg(F.collect_list(F.when(F.col(part).isNotNull(), F.struct(part, "total"))).alias("__sums"))
+    parts = rows.select(F.explode("__sums").alias("s")).agg(F.array_sort(F.collect_set(f"s.{part}")).alias("parts"))
+    totals = F.when(F.col(group).isNotNull(), F.map_from_entries("__sums"))
+    filled = rows.withColumn("__sums", totals).join(F.broadcast(parts)).select(group, F.explode("parts").alias(part), "__sums")
+    filled = filled.select(group, part, F.coalesce(F.try_element_at("__sums", F.col(part)), F.lit(0)).alias("total"))
     whole = F.sum("total").over(Window.partitionBy(group))
     return filled.withColumn("share", F.when(whole == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.col("total") / whole))
 
