@@ -232,3 +232,20 @@ def test_sets_are_not_exchanged_for_each_join(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         join.folder.remove()
     assert names and not spark.sql("SHOW TABLES LIKE 'tables_*'").collect()
+
+
+def test_entries_of_nodes_are_exchanged_once_a_level(spark, monkeypatch):
+    """Before, they were made and exchanged once more for the small nodes and once for the large ones."""
+    plans = []
+    for name in ("written", "bucketed"):
+        kept = getattr(chosen_path.Folder, name)
+        monkeypatch.setattr(chosen_path.Folder, name, lambda self, df, *key, kept=kept: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(self, df, *key))
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t {i // 2}", "en") for i in range(40)] + [(i, f"{i // 2} one two three four five six seven eight nine ten eleven twelve {i // 4 * 4}", "en") for i in range(40, 60)]
+    join = chosen_path.Join(frame(spark, rows), "doc_id", "text", 85, 0.99999)
+    join.hot = 1000
+    try:
+        join.run()
+        assert sum(p.count("Generate explode(roots") for p in plans) == 2  # to be counted, and to be dealt
+    finally:
+        join.folder.remove()

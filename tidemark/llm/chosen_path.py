@@ -245,9 +245,11 @@ class Join:
         entries = self.classes.select(F.explode("roots").alias("node"), "id", "n", "b0", "b1", F.col("id").alias("component"))
         for depth in range(DEPTH + 1):
             sizes = self.written(entries.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-            pairs = self._small(entries, sizes)
-            large = sizes.where(F.col("members") > SMALL)
-            opened = None if large.isEmpty() else self._open(self._meet(entries, large.select("node"), large))
+            dealt, hot = self._dealt(entries, sizes)
+            pairs = self._small(dealt)
+            large = dealt.where(F.col("members") > SMALL).drop("members")
+            large = large if hot is None else large.unionByName(hot)
+            opened = None if sizes.where(F.col("members") > SMALL).isEmpty() else self._open(large)
             most = SMALL if not depth else BLOCKED if depth < DEPTH else None
             if opened is not None:
                 if most is None or most > SMALL:
@@ -274,10 +276,16 @@ class Join:
         cold = entries.join(names, "node", "left_anti").join(nodes.join(names, "node", "left_anti"), "node")
         return cold.unionByName(entries.join(F.broadcast(nodes.join(names, "node", "left_semi")), "node"))
 
-    def _small(self, entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    def _dealt(self, entries: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Entries with their node's ``members``, in buckets of the node, so that a level exchanges them once; those of hot nodes apart, as they are."""
         hot = sizes.where(F.col("members") > self.hot).select("node")
-        cold = entries if hot.isEmpty() else entries.join(F.broadcast(hot), "node", "left_anti")
-        small = cold.join(sizes.where(F.col("members") <= SMALL), "node")
+        hot = None if hot.isEmpty() else F.broadcast(hot)
+        cold = entries if hot is None else entries.join(hot, "node", "left_anti")
+        dealt = cold.repartition(shuffle_partitions(self.docs.sparkSession), "node").join(sizes, "node")
+        return self.folder.bucketed(dealt, "node"), None if hot is None else entries.join(hot, "node", "left_semi")
+
+    def _small(self, dealt: DataFrame) -> DataFrame:
+        small = dealt.where(F.col("members") <= SMALL)
         lists = small.groupBy("node").agg(F.collect_list(F.struct("id", "n", "b0", "b1", "component")).alias("m")).select("m")
         return lists.mapInArrow(_compared(self.most, self.percent), "a long, b long")
 
