@@ -71,3 +71,58 @@ def test_the_sessions_state_store_stays(spark, small_dir, name):
 
     before = spark.conf.get(lifetime.PROVIDER, None)
     assert QUERIES[name](spark, small_dir).count() > 0 and spark.conf.get(lifetime.PROVIDER, None) == before
+
+
+def test_a_thing_costs_few_calls_on_the_state():
+    """Before, each of a thing's days cost two calls, and its timer was looked up and set anew in each batch."""
+    zero, calls, kept, timers = 19_800 * DAY, [], [], set()
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name) or self
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            calls.append("get")
+            return iter(list(kept))
+
+        def put(self, days):
+            calls.append("put")
+            kept[:] = days
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("registerTimer")
+            timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append("deleteTimer")
+            timers.remove(at)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    throttle, expiry = lifetime.Throttle(3600, 2, 7 * DAY), lambda day: (zero + (day + 1 + 7) * DAY) * 1000
+    throttle.init(Handle())
+    told = lambda *seconds: calls.clear() or [(r["thing"], r["second"] - zero, r["reports"]) for r in throttle.handleInputRows(("a",), iter([{"second": zero + s} for s in seconds]), Times(0))]
+    assert told(*[k * DAY for k in range(30)]) == [] and calls == ["get", "put", "registerTimer"] and timers == {expiry(0)}
+    assert told(29 * DAY + 3600, 29 * DAY + 3601) == [("a", 29 * DAY + 3600, 2), ("a", 29 * DAY + 3601, 2)] and calls == ["get", "put"]
+    assert told(-60) == [("a", 0, 2)] and calls == ["get", "put", "deleteTimer", "registerTimer"] and timers == {expiry(-1)}
+    calls.clear()
+    assert list(throttle.handleExpiredTimer(("a",), Times(expiry(27)), Times(expiry(-1)))) == []
+    assert calls == ["get", "put", "registerTimer"] and [d for d, _, _ in kept] == [zero // DAY + 28, zero // DAY + 29] and expiry(28) in timers
+
+
+def test_one_timer_a_thing_is_left(spark, tmp_path):
+    zero = 19_800 * DAY
+    for k, rows in enumerate(([("a", 20), ("b", 20), (None, 21)], [("a", 14), ("a", 33)], [("b", 33), ("a", 34)])):
+        write(spark, tmp_path / "in", str(k), [(t, zero + d * DAY) for t, d in rows], "thing string, second long")
+        throttle(spark, str(tmp_path / "in"), str(tmp_path / "out"), lateness="10 days")
+    load = lambda **o: spark.read.format("statestore").options(**o).load(str(tmp_path / "out" / "state"))
+    days = {(r[0], r[1] - 19_800) for r in load(stateVarName="days").selectExpr("key.thing", "list_element.day").collect()}
+    # The watermark is at day 24: what was over a week old, day 14, is gone.
+    assert days == {("a", 20), ("a", 33), ("a", 34), ("b", 20), ("b", 33), (None, 21)}
+    timers = sorted((str(r[0]), r[1] // 1000 // DAY - 19_800 - 8) for r in load(readRegisteredTimers="true").selectExpr("key.thing", "expiration_timestamp_ms").collect())
+    assert timers == [("None", 21), ("a", 20), ("b", 20)]

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,67 +21,75 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class Throttle(StatefulProcessor):
-    """Counts of reports by second in one map entry a day (86,400 numbers at most); a timer removes days that are over ``keep`` seconds old."""
+    """Counts of reports by second in one list entry a day (86,400 numbers at most); a timer removes days that are over ``keep`` seconds old.
+
+    Each call on the state is a message to the JVM and back, which costs more than what is done with it. So a thing's
+    days are read with one call and written with one, and its timer is touched only when its oldest day changes.
+    """
 
     def __init__(self, seconds: int, limit: int, keep: int):
         self.seconds, self.limit, self.keep = min(seconds, keep), limit, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day long", "seconds array<long>, counts array<long>")
+        self.days = handle.getListState("days", "day long, seconds array<long>, counts array<long>")
+
+    def _held(self) -> dict[int, tuple[list[int], list[int]]]:
+        return {day: (seconds, counts) for day, seconds, counts in self.days.get()}
 
-    def _put(self, new: dict[int, int]) -> None:
+    def _put(self, held: dict[int, tuple[list[int], list[int]]], new: dict[int, int]) -> None:
         by_day: dict[int, dict[int, int]] = {}
         for second, n in new.items():
             by_day.setdefault(second // DAY, {})[second] = n
         for day, counts in by_day.items():
-            if self.days.containsKey((day,)):
-                for second, n in zip(*self.days.getValue((day,)), strict=True):
-                    counts[second] = counts.get(second, 0) + n
+            for second, n in zip(*held.get(day, ((), ())), strict=True):
+                counts[second] = counts.get(second, 0) + n
             order = sorted(counts)
-            self.days.updateValue((day,), (order, [counts[s] for s in order]))
+            held[day] = (order, [counts[s] for s in order])
+        self.days.put([(day, *held[day]) for day in sorted(held)])
 
-    def _near(self, new: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _near(self, held: dict[int, tuple[list[int], list[int]]], new: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Seconds and counts of the days that the windows of new reports, and of those after them, can touch."""
         low, high = (new[0] - self.seconds) // DAY, (new[-1] + self.seconds) // DAY
-        held = [value for (day,), value in self.days.iterator() if low <= day <= high]
-        at = np.array([s for seconds, _ in held for s in seconds], dtype="int64")
-        n = np.array([c for _, counts in held for c in counts], dtype="int64")
-        order = np.argsort(at)
-        return at[order], n[order]
-
-    def _wake(self) -> None:
-        """One timer for each thing: when its oldest day is to go."""
-        days = [day for (day,) in self.days.keys()]
-        if days:
-            self.handle.registerTimer(((min(days) + 1) * DAY + self.keep) * 1000)
+        near = [held[day] for day in sorted(held) if low <= day <= high]
+        return tuple(np.array([x for part in near for x in part[k]], dtype="int64") for k in range(2))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def _expiry(self, day: int) -> int:
+        return ((day + 1) * DAY + self.keep) * 1000
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         new: dict[int, int] = {}
-        for part in rows:
-            for second, n in part["second"].value_counts().items():
-                new[int(second)] = new.get(int(second), 0) + int(n)
-        self._put(new)
+        for row in rows:
+            new[row["second"]] = new.get(row["second"], 0) + 1
+        held = self._held()
+        oldest = min(held, default=None)
+        self._put(held, new)
         first = sorted(new)
-        at, n = self._near(first)
+        at, n = self._near(held, first)
         total = np.concatenate([[0], np.cumsum(n)])
         reports = total[1:] - total[np.searchsorted(at, at - self.seconds)]
         # A late report changes the counts of later ones too: those within its window are told again.
         arrived = np.array(first, dtype="int64")
         before = np.searchsorted(arrived, at, "right")
         touched = (before > 0) & (at - arrived[np.maximum(before - 1, 0)] <= self.seconds) & (reports >= self.limit)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self._wake()
-        yield pd.DataFrame({"thing": pd.Series([key[0]] * int(touched.sum()), dtype=object), "second": at[touched], "reports": reports[touched]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        for (day,) in list(self.days.keys()):
-            if (day + 1) * DAY + self.keep <= now:
-                self.days.removeKey((day,))
-        self._wake()
-        yield pd.DataFrame({"thing": pd.Series([], dtype=object), "second": pd.Series([], dtype="int64"), "reports": pd.Series([], dtype="int64")})
+        # One timer for each thing: when its oldest day is to go.
+        if min(held) != oldest:
+            if oldest is not None:
+                self.handle.deleteTimer(self._expiry(oldest))
+            self.handle.registerTimer(self._expiry(min(held)))
+        for second, n in zip(at[touched].tolist(), reports[touched].tolist(), strict=True):
+            yield Row(thing=key[0], second=second, reports=n)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        watermark = max(now, timerValues.getCurrentWatermarkInMs())
+        left = {day: held for day, held in self._held().items() if self._expiry(day) > watermark}
+        if left:
+            self.days.put([(day, *left[day]) for day in sorted(left)])
+            self.handle.registerTimer(self._expiry(min(left)))
+        else:
+            self.days.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -145,7 +153,7 @@ def throttle_stream(reports: DataFrame, thing: str, at: str, folder: str, second
     kind = reports.schema[thing].dataType.simpleString()
     rows = reports.where(F.col(at).isNotNull()).select(F.col(thing).alias("thing"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", lateness)
     rows = rows.withColumn("second", F.unix_seconds("at"))
-    out = rows.groupBy("thing").transformWithStateInPandas(Throttle(seconds, limit, keep_days * DAY), f"thing {kind}, second long, reports long", "update", "eventtime")
+    out = rows.groupBy("thing").transformWithState(Throttle(seconds, limit, keep_days * DAY), f"thing {kind}, second long, reports long", "update", "eventtime")
     return _start(out, folder)
 
 
