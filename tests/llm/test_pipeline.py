@@ -1,9 +1,12 @@
 """The pipeline: every stage keeps the columns, acts on its input, and the whole runs through."""
 
+import gc
+
 import corpus_pipeline
 import pytest
 
 from tidemark.llm import bpe, decontaminate, ngram_join
+from tidemark.llm.components import components
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +43,17 @@ def test_run_gives_the_rows_of_the_last_stage(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "ids_sha256").collect()
     assert sorted(got) == sorted(stages[-1].select("doc_id", "ids_sha256").collect())
     assert bpe.codec(__import__("public_tokenizers").path("word_bpe_49k.json")).automaton.token
+
+
+def test_driver_keeps_no_codec(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    assert corpus_pipeline.to_tokens(spark, docs, sf_dir).count() == 20
+    gc.collect()
+    assert not [x for x in gc.get_objects() if isinstance(x, bpe.Codec)]
+
+
+def test_few_edges_are_not_exchanged_after_their_union(spark):
+    edges = spark.createDataFrame([(5, 3), (3, 9), (7, 8), (8, 8), (20, 9)], "a long, b long")
+    got = components(edges)
+    assert sorted(map(tuple, got.collect())) == [(3, 3), (5, 3), (7, 7), (8, 7), (9, 3), (20, 3)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

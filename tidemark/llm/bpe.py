@@ -21,7 +21,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import give_back, slices
 
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -349,9 +348,8 @@ def _apart(names: Iterator[str]) -> list[str]:
     return " ".join(names).replace(" \n", "\n").replace("\n ", "\n").split("\n")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """The codec of a file, compiled once by the driver."""
+    """The codec of a file, compiled anew: that takes some 1.5 s, and one that the driver kept would take 80 MB of its memory for ever."""
     return Codec(path)
 
 
@@ -366,6 +364,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ``remember`` and ``most`` (bytes of text taken at once) trade a worker's memory for its time; results don't depend on them.
     """
     sent = docs.sparkSession.sparkContext.broadcast(codec(path))
+    give_back()
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 

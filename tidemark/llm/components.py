@@ -63,6 +63,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         turn += 1
     if labels is None:
         return edges.select(F.col(a).alias("id"), F.col(a).alias("component")).limit(0)
-    labels = checkpoint(labels) if turn else labels
+    if not turn:  # the only task had all edges, so its labels are the smallest ids
+        return labels.withColumnRenamed("label", "component")
+    labels = checkpoint(labels)
     least = labels.groupBy("label").agg(F.min("id").alias("component"))
     return labels.join(least, "label").select("id", "component")

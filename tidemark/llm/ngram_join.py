@@ -297,7 +297,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, packed) of the classes in ``pairs``, once each. ``classes``: (class_id, rep)."""
-    inside = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
+    inside = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
     texts = classes.join(inside, "class_id").join(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep").select("class_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +384,7 @@ def long_links(docs: DataFrame, text_col: str, blocks: int, sent) -> DataFrame |
         new = checkpoint(linked(pairs, whole))
         edges = new if edges is None else edges.unionByName(new)
     # Sets that are alike link among themselves if their long shingles suffice, or if they link to another kind, which all of them do.
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("linked", F.lit(True))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("linked", F.lit(True))
     bound = alike.select("signature", "n", "id", size.alias("size")).join(ends, "id", "left").where((F.col("size") * 7 >= F.col("n") * 6) | F.col("linked"))
     members = sets.select("class_id", "signature", "n").join(bound, ["signature", "n"]).where("class_id <> id")
     return edges.unionByName(members.select(F.col("id").alias("a"), F.col("class_id").alias("b")))
