@@ -294,6 +294,26 @@ def test_hits_are_not_exchanged_and_stay_whole_in_many_parts(spark):
     assert not [line for line in plan.splitlines() if "Aggregate [" in line and "userid" in line and "doc" in line]
 
 
+def test_monitors_that_watch_the_same_meet_the_data_once(spark, monkeypatch):
+    """40 monitors of two users that watch the same are two rows of the join; before, each made its hits there, and sets of monitors were exchanged as lists of numbers."""
+    tables = data(spark)
+    given = monitor(spark, soort="OODocumentVerantwoordelijke", verantwoordelijke="RIVM", cutoff="2024-01-01").drop("id", "userid", "nummer")
+    given = given.crossJoin(spark.range(1, 41).select("id", (F.col("id") % 2).alias("userid"), F.col("id").cast("string").alias("nummer")))
+    given = given.unionByName(monitor(spark, id=50, userid=1, soort="ksd", nummer="36100", toevoeging="VI", cutoff="2024-01-01"))
+    assert M.bundles(given).count() == 3
+    seen = []
+    monkeypatch.setattr(M, "_meet", lambda m, *a, meet=M._meet: (seen.append(m), meet(m, *a))[1])
+    hits = M.evaluate(given, tables)
+    assert sum(m.count() for m in seen) == 3
+    assert rows(hits.where("soort <> 'ksd'"), "monitor", "identifier") == [(n, d) for n in range(1, 41) for d in ("d2", "d3")]
+    sent = spark.createDataFrame([(0, "d2"), (9, "d3")], "userid long, identifier string")
+    want = rows(M.grouped(M.unsent(hits, sent)), "userid", "monitors", "hits", "first_hit")
+    for size in (100, 1):
+        monkeypatch.setattr(M, "SETS", size)
+        monkeypatch.setattr(M, "BROADCAST_MONITORS", size)
+        assert rows(M.told(given, tables, sent), "userid", "monitors", "hits", "first_hit") == want and len(want) == 4
+
+
 def test_lists_are_cut_into_pages_without_gathering_a_day(spark, small_dir):
     seen = [("2024-03-01 10:00:00.5", 7, ["a"]), ("2024-03-01 10:00:00.5", 3, ["a", "b"]), ("2024-03-01 09:00:00", 9, ["a", "a"]), ("2024-03-01 10:00:59", 1, ["b"]), ("2024-03-02 00:00:00", 5, ["a", "b"])]
     listed = spark.createDataFrame(seen, "ts string, id int, days array<string>").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "r": F.struct("id")})
