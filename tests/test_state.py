@@ -314,6 +314,16 @@ def test_monitors_that_watch_the_same_meet_the_data_once(spark, monkeypatch):
         assert rows(M.told(given, tables, sent), "userid", "monitors", "hits", "first_hit") == want and len(want) == 4
 
 
+def test_a_run_works_messages_out_from_hits_of_bundles(spark, tmp_path):
+    """Ten monitors that watch the same are one row for each hit in what messages are made from; before, that was the log with all their hits."""
+    folder, columns = str(tmp_path / "m"), monitor(spark).columns
+    given = monitor(spark, soort="OODocumentVerantwoordelijke", verantwoordelijke="RIVM", cutoff="2024-01-01").drop("id").crossJoin(spark.range(1, 11)).select(*columns)
+    given = given.unionByName(monitor(spark, id=50, soort="ksd", nummer="36100", toevoeging="VI", cutoff="2024-01-01")).withColumns({"last_run": F.lit(None).cast("long"), "interval": F.lit(None).cast("long")})
+    told = M.run(spark, folder, 0, given, data(spark), "2024-01-12", 1000)
+    assert spark.read.parquet(f"{folder}/found").count() == 4 and spark.read.parquet(f"{folder}/log").count() == 22
+    assert rows(told, "userid", "monitors", "hits", "first_hit") == rows(M.grouped(spark.read.parquet(f"{folder}/log")), "userid", "monitors", "hits", "first_hit")
+
+
 def test_lists_are_cut_into_pages_without_gathering_a_day(spark, small_dir):
     seen = [("2024-03-01 10:00:00.5", 7, ["a"]), ("2024-03-01 10:00:00.5", 3, ["a", "b"]), ("2024-03-01 09:00:00", 9, ["a", "a"]), ("2024-03-01 10:00:59", 1, ["b"]), ("2024-03-02 00:00:00", 5, ["a", "b"])]
     listed = spark.createDataFrame(seen, "ts string, id int, days array<string>").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "r": F.struct("id")})
